@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import SPACE
 
-MIN_SITES, MIN_WORDS, NEW_CONTEXTS, ERROR = 5, 4, 0.25, 0.1
+MIN_SITES, MIN_WORDS, NEW_CONTEXTS, ERROR, SALTS = 5, 4, 0.25, 0.1, 32
 
 
 def normal(line: Column) -> Column:
@@ -51,6 +51,12 @@ def occurrences(docs: DataFrame, text_col: str, site_col: str, min_words: int) -
     )
 
 
+def among(lines: DataFrame, few: DataFrame) -> DataFrame:
+    """The rows of lines whose hash is in few. A very common line is dealt out to SALTS tasks by its text."""
+    salted = few.withColumn("_tm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("_tm_salt", F.pmod("_tm_t2", F.lit(SALTS)).cast("int")).join(salted, ["_tm_a", "_tm_b", "_tm_salt"], "left_semi").drop("_tm_salt")
+
+
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, new_contexts: float = NEW_CONTEXTS, error: float = ERROR) -> DataFrame:
     """Hashes (_tm_a, _tm_b) of the lines on min_sites sites or more with at least new_contexts new contexts for each use."""
     line = ["_tm_a", "_tm_b"]
@@ -61,7 +67,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, new_contexts: floa
     sure = (F.col("sites") > min_sites * (1 + 3 * error)) & (F.col("contexts") > least * (1 + 3 * error))
     never = (F.col("n") < min_sites) | (F.col("sites") < min_sites * (1 - 3 * error)) | (F.col("contexts") < least * (1 - 3 * error))
     spread = spread.where(~never).select(*line, "n", sure.alias("sure"))
-    near = lines.join(spread.where("NOT sure").select(*line), line, "left_semi")
+    near = among(lines, spread.where("NOT sure").select(*line))
     pairs = lambda c: near.groupBy(*line, c).agg(F.count(F.lit(1)).alias("k")).groupBy(*line)
     sites = pairs("_tm_site").agg(F.count(F.lit(1)).alias("sites"))
     contexts = pairs("_tm_context").agg(F.count(F.lit(1)).alias("contexts"), F.sum("k").alias("n"))
@@ -72,7 +78,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, new_contexts: floa
 def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, new_contexts: float = NEW_CONTEXTS) -> DataFrame:
     """docs with boilerplate lines cut from the text, and _tm_n_lines, _tm_n_removed."""
     lines = occurrences(docs, text_col, site_col, min_words)
-    gone = lines.select("_tm_t1", "_tm_t2", "_tm_pos", "_tm_a", "_tm_b").join(boilerplate(lines, min_sites, new_contexts), ["_tm_a", "_tm_b"], "left_semi")
+    gone = among(lines.select("_tm_t1", "_tm_t2", "_tm_pos", "_tm_a", "_tm_b"), boilerplate(lines, min_sites, new_contexts))
     gone = gone.groupBy("_tm_t1", "_tm_t2", "_tm_pos").agg(F.count(F.lit(1)).alias("n")).groupBy("_tm_t1", "_tm_t2").agg(F.collect_list("_tm_pos").alias("_tm_gone"))
     keyed = docs.withColumn("_tm_t1", F.xxhash64(F.lit(1), text_col)).withColumn("_tm_t2", F.xxhash64(F.lit(2), text_col))
     out = keyed.join(gone, ["_tm_t1", "_tm_t2"], "left").withColumn("_tm_split", F.split(text_col, "\n"))
