@@ -52,9 +52,9 @@ def occurrences(docs: DataFrame, text_col: str, site_col: str, min_words: int) -
 
 
 def among(lines: DataFrame, few: DataFrame) -> DataFrame:
-    """The rows of lines whose hash is in few. A very common line is dealt out to SALTS tasks by its text."""
+    """The rows of lines whose hash is in few. A very common line is dealt out to SALTS tasks, its copies too."""
     salted = few.withColumn("_tm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return lines.withColumn("_tm_salt", F.pmod("_tm_t2", F.lit(SALTS)).cast("int")).join(salted, ["_tm_a", "_tm_b", "_tm_salt"], "left_semi").drop("_tm_salt")
+    return lines.withColumn("_tm_salt", F.pmod(F.xxhash64("_tm_t2", F.spark_partition_id()), F.lit(SALTS)).cast("int")).join(salted, ["_tm_a", "_tm_b", "_tm_salt"], "left_semi").drop("_tm_salt")
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, new_contexts: float = NEW_CONTEXTS, error: float = ERROR) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, mixing, packing, quality, simhash
+from tidemark.llm import html_text, line_dedup, media, mixing, packing, quality, sharding, simhash
 from tidemark.llm.common import read
 
 
@@ -18,6 +18,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.orderBy(F.col("position").asc_nulls_last())
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(read(spark, sf_dir, "documents").select("doc_id"))
+    return placed.select("doc_id", F.col("_tm_slot").alias("slot"), F.col("_tm_shard").alias("shard"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_tm_n_lines").alias("n_lines"), F.col("_tm_n_removed").alias("n_removed"), "text")
@@ -38,12 +43,30 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document is a page that shows its own text as a medium; its row comes from resolving that reference."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", media.payload().alias("payload"))
+    page = F.concat(
+        F.lit('<article><p>Document</p><figure><img src="sha256:'), F.sha2("payload", 256), F.lit('"><figcaption>'), F.coalesce("lang", F.lit("")), F.lit("</figcaption></figure></article>")
+    )
+    shown = media.sequences(docs.select("doc_id", page.alias("html")), id_col="doc_id", html_col="html")
+    parts = media.resolve(shown, media.describe(media.store(docs))).where("kind = 'media'")
+    return parts.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_sharding": op2_sharding,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
     "op8_packing": op8_packing,
+    "op9_media": op9_media,
+    "op10_html": op10_html,
 }
 
 ORACLE_SQL: dict[str, str] = {}
