@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -157,7 +157,8 @@ def learn_decision_list(labelled: DataFrame, *, bins: int = BINS, max_rules: int
     if row is None or row[0] is None:
         return []
     cuts = [sorted(set(c)) for c in row]
-    binned = [F.size(F.filter(F.array(*map(F.lit, c)), lambda t, k=k: t < F.get("values", F.lit(k)))).alias(f"b{k}") for k, c in enumerate(cuts)]
+    # The bin is the number of cuts below the value.
+    binned = [reduce(add, [F.when(F.get("values", F.lit(k)) > t, 1).otherwise(0) for t in c]).alias(f"b{k}") for k, c in enumerate(cuts)]
     cells = labelled.select("bad", "held_out", *binned)
     cells = staged(cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n")).coalesce(1))
     rules: list[list[Test]] = []

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, line_dedup, media, mixing, packing, quality, sharding, simhash
+from tidemark.llm import html_text, line_dedup, media, mixing, packing, pii, quality, sharding, simhash, substring_dedup
 from tidemark.llm.common import read
 
 
@@ -38,6 +38,17 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_components(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = pii.personal_data(read(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["k"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.PATTERNS)]
+    return spans.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.text_of(F.col("base")), 256).alias("base_sha256"), pii.text_of(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.withColumnRenamed("id", "doc_id")
@@ -64,6 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_simhash": op5_simhash,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_media": op9_media,
     "op10_html": op10_html,
