@@ -82,4 +82,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2, 1][rank % 3 + 1] AS weight, 3 * source_size / [5.0::DOUBLE, 2, 1][rank % 3 + 1] AS ratio FROM s),
+v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY ratio, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, rank, least(3 * source_size::DOUBLE, coalesce(max(CASE WHEN level <= ratio THEN level END) OVER () * weight, 3 * source_size)) AS target FROM v),
+c AS (SELECT doc_id, size, source_size, rank, target, round(target)::BIGINT AS stop, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+u AS (SELECT *, [greatest(0, least(size, stop - start)), greatest(0, least(size, stop - start - source_size)), greatest(0, least(size, stop - start - 2 * source_size))] AS used, CASE WHEN rank % 2 = 0 THEN 1.5::DOUBLE ELSE 0.5::DOUBLE END AS w0, CASE WHEN rank % 2 = 0 THEN -1 ELSE 1 END AS slope FROM c)
+SELECT doc_id, size, source_size, target, list_sum(used)::BIGINT AS taken,
+  CASE WHEN list_sum(used) > 0 THEN round(2 * (start / target) / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (start / target), 0))), 6) END AS position, len(list_filter(used, lambda x: x > 0))::BIGINT AS n_uses FROM u""",
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS norm FROM l),
+c AS (SELECT *, lag(norm) OVER w AS before, lead(norm) OVER w AS after, regexp_matches(norm, '^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]') AS ok FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT norm FROM c WHERE ok GROUP BY norm HAVING count(DISTINCT coalesce('+' || source, '-')) >= 5 AND count(DISTINCT (coalesce('+' || before, '-'), coalesce('+' || after, '-'))) >= greatest(5, 0.25 * count(*))),
+f AS (SELECT c.*, c.ok AND b.norm IS NOT NULL AS gone FROM c LEFT JOIN b ON c.norm = b.norm)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text FROM documents d
+LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY doc_id) k ON d.doc_id = k.doc_id""",
+}
