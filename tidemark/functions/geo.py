@@ -1,0 +1,61 @@
+"""Geometry as Column expressions. Each use has its own earth model; they aren't mixed."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Radii in metres of the flat projection, of zone projection, and in km of great circles.
+FLAT_R, ZONE_R, GREAT_KM = 6_371_000.0, 6_378_137.0, 6371.0088
+CHI2_95 = 5.991
+
+
+def to_enu(lat: Column, lon: Column, lat0: float, lon0: float, radius: float = FLAT_R) -> tuple[Column, Column]:
+    return F.radians(lon - lon0) * radius * math.cos(math.radians(lat0)), F.radians(lat - lat0) * radius
+
+
+def to_lla(x: Column, y: Column, lat0: float, lon0: float, radius: float = FLAT_R) -> tuple[Column, Column]:
+    return lat0 + F.degrees(y / radius), lon0 + F.degrees(x / (radius * math.cos(math.radians(lat0))))
+
+
+def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
+    return 2 * GREAT_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    d = F.radians(lon2 - lon1)
+    y = F.sin(d) * F.cos(F.radians(lat2))
+    x = F.cos(F.radians(lat1)) * F.sin(F.radians(lat2)) - F.sin(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.cos(d)
+    return F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0))
+
+
+def tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
+    n = float(2**zoom)
+    y = (1 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2 * n
+    return F.floor((lon + 180) / 360 * n).cast("long"), F.floor(y).cast("long")
+
+
+def ellipse(a: Column, b: Column, c: Column, chi2: float = CHI2_95) -> tuple[Column, Column, Column]:
+    """Half axes and angle (counter-clockwise from east, degrees) of the covariance (a b; b c)."""
+    middle, root = (a + c) / 2, F.sqrt(F.pow((a - c) / 2, 2) + b * b)
+    return F.sqrt(chi2 * (middle + root)), F.sqrt(chi2 * F.greatest(middle - root, F.lit(0.0))), F.degrees(F.atan2(2 * b, a - c) / 2)
+
+
+def segment_distance(x: Column, y: Column, x1: float, y1: float, x2: float, y2: float) -> Column:
+    """Distance from a point to a segment; within a corridor if it is at most the corridor's buffer."""
+    dx, dy = x2 - x1, y2 - y1
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
+    return F.hypot(x - (x1 + share * dx), y - (y1 + share * dy))
+
+
+def strictly_inside(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
+    """Ray casting with the boundary left out. ring: open list of corners."""
+    odd, edge = F.lit(0), F.lit(False)
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+        crossing = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1 or 1.0) + x1)
+        odd = odd + F.when(crossing, 1).otherwise(0)
+        edge = edge | (((x - x1) * (y2 - y1) == (y - y1) * (x2 - x1)) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
+    return (odd % 2 == 1) & ~edge
