@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 
 from tidemark.operators.tracking import BETA, GATE, LOG_2PI, PD, solve
 
-Q, DELETE_AFTER, FRESH_S, REACH_MPS, COAST_PD = 0.5, 60, 600.0, 20.0, 0.5
+Q, DELETE_AFTER, FRESH_S, REACH_MPS = 0.5, 60, 600.0, 20.0
+#: Detection probability and clutter density when live tracks are matched, and when silent ones are.
+LIVE, COASTING = (PD, BETA), (0.5, 1e-11)
 TRACKS = "mission long, frame_idx long, track_id long, x double, y double, vx double, vy double, p00 double, status string, event string, meas_id long"
 
 
@@ -38,6 +40,7 @@ class Track:
         self.x, self.p = f @ self.x, f @ self.p @ f.T + noise
 
     def update(self, z: np.ndarray, r: float, t: float, d2: float, logdet: float) -> str:
+        pd_, beta = COASTING if self.status == "coasting" else LIVE
         s = self.p[:2, :2] + r * np.eye(2)
         k = self.p[:, :2] @ np.linalg.inv(s)
         a = np.eye(4)
@@ -47,7 +50,7 @@ class Track:
         was, long_gone = self.status, self.misses >= 4
         self.fix, self.misses, self.hits = (t, *z.tolist()), 0, self.hits + 1
         self.history = [*self.history[-4:], True]
-        self.llr += math.log(PD / BETA) - 0.5 * d2 - LOG_2PI - 0.5 * logdet
+        self.llr += math.log(pd_ / beta) - 0.5 * d2 - LOG_2PI - 0.5 * logdet
         if was == "coasting" or was == "tentative" and sum(self.history) >= 3:
             self.status = "confirmed"
         return "reacquired" if was == "coasting" and long_gone else ""
@@ -63,10 +66,11 @@ class Track:
         return ""
 
 
-def associate(tracks: list[Track], z: np.ndarray, r: np.ndarray, pd_: float) -> dict[int, tuple[int, float, float]]:
+def associate(tracks: list[Track], z: np.ndarray, r: np.ndarray, stage: tuple[float, float]) -> dict[int, tuple[int, float, float]]:
     """Track number to (plot number, d2, log determinant) of the cheapest assignment."""
     if not tracks or not len(z):
         return {}
+    pd_, beta = stage
     s = np.array([t.p[:2, :2] for t in tracks])[:, None] + r[None, :, None, None] * np.eye(2)
     d = z[None] - np.array([t.x[:2] for t in tracks])[:, None]
     det = s[..., 0, 0] * s[..., 1, 1] - s[..., 0, 1] ** 2
@@ -74,7 +78,7 @@ def associate(tracks: list[Track], z: np.ndarray, r: np.ndarray, pd_: float) ->
     ti, mi = np.nonzero(d2 <= GATE)
     logdet = np.log(det)
     cost = 0.5 * d2 + LOG_2PI + 0.5 * logdet - math.log(pd_)
-    return {i: (j, d2[i, j], logdet[i, j]) for i, j in solve(len(tracks), len(z), ti, mi, cost[ti, mi])}
+    return {i: (j, d2[i, j], logdet[i, j]) for i, j in solve(len(tracks), len(z), ti, mi, cost[ti, mi], -math.log(1 - pd_), -math.log(beta))}
 
 
 def run_mission(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -90,12 +94,12 @@ def run_mission(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             track.predict(dt)
         live, coasting = [k for k in tracks if k.status != "coasting"], [k for k in tracks if k.status == "coasting"]
         found: dict[int, tuple[int, float, float]] = {}
-        for i, hit in associate(live, z, r, PD).items():
+        for i, hit in associate(live, z, r, LIVE).items():
             found[live[i].id] = hit
         left = [j for j in range(len(z)) if j not in {h[0] for h in found.values()}]
         fresh = [k for k in coasting if t - k.fix[0] <= FRESH_S]
         left = np.array([j for j in left if any(math.hypot(z[j, 0] - k.fix[1], z[j, 1] - k.fix[2]) <= REACH_MPS * (t - k.fix[0]) for k in fresh)] or [], int)
-        for i, (j, d2, logdet) in associate(fresh, z[left], r[left], COAST_PD).items():
+        for i, (j, d2, logdet) in associate(fresh, z[left], r[left], COASTING).items():
             found[fresh[i].id] = (int(left[j]), d2, logdet)
         used = {h[0] for h in found.values()}
         for track in tracks:

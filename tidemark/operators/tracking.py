@@ -69,15 +69,15 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def solve(n: int, m: int, ti: np.ndarray, mi: np.ndarray, cost: np.ndarray) -> list[tuple[int, int]]:
+def solve(n: int, m: int, ti: np.ndarray, mi: np.ndarray, cost: np.ndarray, miss: float = MISS, birth: float = BIRTH) -> list[tuple[int, int]]:
     """The cheapest set of gated pairs, misses and births: a matrix of n + m rows with misses and births on its diagonals."""
     if not n or not m:
         return []
-    big = MISS + BIRTH + 1 + (abs(cost).max() if len(cost) else 0)
+    big = miss + birth + 1 + (abs(cost).max() if len(cost) else 0)
     c = np.full((n + m, n + m), big)
     c[ti, mi] = cost
-    c[np.arange(n), m + np.arange(n)] = MISS
-    c[n + np.arange(m), np.arange(m)] = BIRTH
+    c[np.arange(n), m + np.arange(n)] = miss
+    c[n + np.arange(m), np.arange(m)] = birth
     c[n:, m:] = 0
     gated = set(zip(ti.tolist(), mi.tolist(), strict=True))
     return [(i, j) for i, j in enumerate(hungarian(c)[:n].tolist()) if (i, j) in gated]
