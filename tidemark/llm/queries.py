@@ -15,7 +15,7 @@ from tidemark.llm.common import read
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.curriculum_mix(read(spark, sf_dir, "documents"))
     out = mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.round("position", 6).alias("position"), F.size("uses").cast("long").alias("n_uses"))
-    return out.orderBy(F.col("position").asc_nulls_last())
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
