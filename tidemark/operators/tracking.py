@@ -42,12 +42,12 @@ def pair_costs(tracks: DataFrame, plots: DataFrame) -> DataFrame:
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
-    """Column of each row of the cheapest perfect matching of a square matrix (shortest augmenting paths)."""
-    n = len(cost)
-    u, v = np.zeros(n + 1), np.zeros(n + 1)
-    row_of = np.zeros(n + 1, int)
+    """Column of each row of the cheapest matching of all rows (shortest augmenting paths); there are at least as many columns."""
+    n, m = cost.shape
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    row_of = np.zeros(m + 1, int)
     for i in range(1, n + 1):
-        row_of[0], j, least, via, seen = i, 0, np.full(n + 1, np.inf), np.zeros(n + 1, int), np.zeros(n + 1, bool)
+        row_of[0], j, least, via, seen = i, 0, np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
         while row_of[j]:
             seen[j] = True
             r = row_of[j]
@@ -64,23 +64,40 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
         while j:
             row_of[j] = row_of[via[j]]
             j = via[j]
-    out = np.empty(n, int)
-    out[row_of[1:] - 1] = np.arange(n)
+    out = np.full(n, -1)
+    used = np.flatnonzero(row_of[1:])
+    out[row_of[1:][used] - 1] = used
     return out
 
 
 def solve(n: int, m: int, ti: np.ndarray, mi: np.ndarray, cost: np.ndarray, miss: float = MISS, birth: float = BIRTH) -> list[tuple[int, int]]:
-    """The cheapest set of gated pairs, misses and births: a matrix of n + m rows with misses and births on its diagonals."""
-    if not n or not m:
-        return []
-    big = miss + birth + 1 + (abs(cost).max() if len(cost) else 0)
-    c = np.full((n + m, n + m), big)
-    c[ti, mi] = cost
-    c[np.arange(n), m + np.arange(n)] = miss
-    c[n + np.arange(m), np.arange(m)] = birth
-    c[n:, m:] = 0
-    gated = set(zip(ti.tolist(), mi.tolist(), strict=True))
-    return [(i, j) for i, j in enumerate(hungarian(c)[:n].tolist()) if (i, j) in gated]
+    """The cheapest set of gated pairs, misses and births.
+
+    A pair saves miss + birth - cost; pairs that save nothing are never needed. Groups of tracks and
+    plots that no pair connects are solved one by one, each track with a free column for its miss.
+    """
+    gain = cost - miss - birth
+    worth = gain < 0
+    ti, mi, gain = ti[worth], mi[worth], gain[worth]
+    root = np.arange(n + m)
+    while True:
+        least = np.minimum(root[ti], root[n + mi])
+        before = root.copy()
+        np.minimum.at(root, ti, least)
+        np.minimum.at(root, n + mi, least)
+        root = root[root]
+        if np.array_equal(root, before):
+            break
+    out: list[tuple[int, int]] = []
+    order = np.argsort(root[ti], kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(root[ti][order])) + 1) if len(order) else []:
+        t, ri = np.unique(ti[part], return_inverse=True)
+        c, ci = np.unique(mi[part], return_inverse=True)
+        table = np.full((len(t), len(c) + len(t)), 1e12)
+        table[ri, ci] = gain[part]
+        table[:, len(c) :] = 0
+        out += [(int(t[i]), int(c[j])) for i, j in enumerate(hungarian(table).tolist()) if j < len(c)]
+    return sorted(out)
 
 
 def assign_frame(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
