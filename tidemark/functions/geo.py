@@ -32,6 +32,52 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0))
 
 
+def angle_delta(a: Column, b: Column) -> Column:
+    """a - b in degrees, from -180 up to but not including 180."""
+    return F.pmod(a - b + 180, F.lit(360.0)) - 180
+
+
+def destination(lat: Column, lon: Column, bearing_deg: Column, km: Column) -> tuple[Column, Column]:
+    """Where a great circle of that length ends; longitudes from -180 up to but not including 180."""
+    d, b, p = km / GREAT_KM, F.radians(bearing_deg), F.radians(lat)
+    end = F.asin(F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(b))
+    turn = F.atan2(F.sin(b) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * F.sin(end))
+    return F.degrees(end), F.pmod(lon + F.degrees(turn) + 180, F.lit(360.0)) - 180
+
+
+def local_radius_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, a: float = 6378.137, f: float = 1 / 298.257223563) -> Column:
+    """Distance on the ellipsoid by its radii of curvature at the middle latitude."""
+    e2 = f * (2 - f)
+    middle = F.radians((lat1 + lat2) / 2)
+    bend = 1 - e2 * F.pow(F.sin(middle), 2)
+    north = a * (1 - e2) / F.pow(bend, 1.5) * F.radians(lat2 - lat1)
+    return F.hypot(a / F.sqrt(bend) * F.cos(middle) * F.radians(lon2 - lon1), north)
+
+
+def cover(lat: Column, lon: Column, radius_km: float, zoom: int) -> Column:
+    """Array of (x, y): the tiles that the square around a point touches."""
+    n = 2**zoom
+    dy = radius_km / 111.32
+    dx = dy / F.greatest(F.lit(0.08), F.cos(F.radians(lat)))
+    row = lambda v: tile(v, lon, zoom)[1]
+    col = lambda v: F.floor((v + 180) / 360 * n).cast("long")
+    rows = F.sequence(F.greatest(F.lit(0).cast("long"), row(F.least(F.lit(85.0), lat + dy))), F.least(F.lit(n - 1).cast("long"), row(F.greatest(F.lit(-85.0), lat - dy))))
+    cols = F.sequence(col(lon - dx), col(lon + dx))
+    return F.flatten(F.transform(rows, lambda y: F.transform(cols, lambda x: F.struct(F.pmod(x, F.lit(n)).alias("x"), y.alias("y")))))
+
+
+def ring_of_ellipse(cx: Column, cy: Column, a: Column, b: Column, c: Column, corners: int = 64, chi2: float = CHI2_95) -> Column:
+    """Array of (k, x, y): an open ring of that many corners on the ellipse."""
+    major, minor, angle = ellipse(a, b, c, chi2)
+    t = F.radians(angle)
+
+    def corner(k: Column) -> Column:
+        u = 2 * math.pi * k / corners
+        return F.struct(k.alias("k"), (cx + major * F.cos(u) * F.cos(t) - minor * F.sin(u) * F.sin(t)).alias("x"), (cy + major * F.cos(u) * F.sin(t) + minor * F.sin(u) * F.cos(t)).alias("y"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(corners - 1)), corner)
+
+
 def tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
     n = float(2**zoom)
     y = (1 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2 * n
