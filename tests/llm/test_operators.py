@@ -176,6 +176,27 @@ def test_bands_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
 
 
+def test_large_group_of_near_copies_keeps_its_links(spark):
+    rng, base = random.Random(11), prose(80, 120).split()
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    texts += [prose(1000 + k, 60) for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+    lowered = docs.select(F.col("doc_id").alias("id"), "text")
+    found = lowered.mapInPandas(substring_dedup.unit_rows, "id long, line array<int>, first array<int>, content array<long>, bands array<array<long>>, anchor array<int>, passage array<long>")
+    paragraphs = found.select("id", F.inline(F.arrays_zip("line", "first", "content", "bands")))
+    root = {r["node"]: r["root"] for r in connected_components(substring_dedup.paragraph_links(lowered, paragraphs)).collect()}
+    of = [root.get(k, k) for k in (substring_dedup.signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in texts)]
+    assert len(near) > 3000 and sum(of[i] != of[j] for i, j in near) <= 0.01 * len(near)
+    assert all(of.count(x) == 1 for x in of[400:])
+
+
 PYTHON = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

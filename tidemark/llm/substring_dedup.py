@@ -8,9 +8,11 @@ Passages are windows of PASSAGE words that start where a five-word hash is the l
 row: any RUN equal words in two documents hold an equal passage, wherever lines break.
 
 The first occurrence of a cluster or passage stays, by document id and place; later ones are removals.
-Documents that share any are linked and form components. In a band's bucket each paragraph is joined
-to the bucket's least and greatest only, so pairs grow in proportion to paragraphs; links that this
-star of one band misses are found through another band's or through the component.
+Documents that share any are linked and form components. A bucket of up to WINDOW + 1 paragraphs is
+joined whole. In a larger one each paragraph is joined to the WINDOW rows after it in the order of the
+next bands' codes, that is, to those that have most bands in common with it; that bounds pairs by the
+number of paragraphs. A link between two members of such buckets is then made by their neighbours, or
+in another band's order; README says how many are lost.
 
 Nulls and ties: a null text has no words; rows of a null id have no repeats of their own and get a
 null component; rows with the same id are one document; words are compared in lower case.
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from tidemark.llm.common import body, short_batches, staged, word_array
+from tidemark.llm.common import body, short_batches, spread, staged, word_array
 from tidemark.llm.components import connected_components
 
 SHINGLE, MIN_WORDS, THRESHOLD, RECALL = 5, 20, 0.8, 0.999
 RUN, ANCHOR = 50, 16
+WINDOW, TAIL = 16, 3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = RUN - ANCHOR
 SEED = 42
@@ -113,13 +116,38 @@ def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(x & y) / len(x | y) for x, y in zip(map(shingles, a), map(shingles, b), strict=True)], dtype="float64")
 
 
+def neighbours(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of a partition sorted by band and codes, each row with the WINDOW rows after it that have its band and first code."""
+    rows = [p for p in parts if len(p)]
+    if not rows:
+        return
+    rows = pd.concat(rows)
+    band, code, content = (rows[c].to_numpy() for c in ("band", "c0", "content"))
+    for d in range(1, min(WINDOW, len(rows) - 1) + 1):
+        same = (band[d:] == band[:-d]) & (code[d:] == code[:-d])
+        x, y = content[:-d][same], content[d:][same]
+        yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+
+def colliding(distinct: DataFrame) -> DataFrame:
+    """Pairs (a, b) of paragraphs that collide in a band; a pair may come several times. distinct: content, bands.
+
+    Each band makes an order of all paragraphs: by its code, then by those of the next TAIL bands. What collides stands
+    side by side there, the more bands in common the nearer. Ranges of that order are the tasks, so a bucket of any size
+    lies across many of them, and pairs grow with the paragraphs.
+    """
+    code = lambda i, k: F.get("bands", F.lit((i + k) % BANDS))
+    turned = F.array(*[F.struct(F.lit(i).alias("band"), *[code(i, k).alias(f"c{k}") for k in range(TAIL + 1)]) for i in range(BANDS)])
+    order = ["band", *[f"c{k}" for k in range(TAIL + 1)], "content"]
+    n = spread(distinct.sparkSession, BANDS * distinct.count(), 100_000)
+    ordered = distinct.select("content", F.inline(turned)).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return ordered.select("band", "c0", "content").mapInPandas(neighbours, "a long, b long")
+
+
 def paragraph_links(lowered: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Pairs (a, b) of content hashes whose paragraphs are similar. paragraphs: content, bands; lowered: text."""
-    distinct = paragraphs.groupBy("content").agg(F.first("bands").alias("bands"))
-    banded = distinct.select("content", F.posexplode("bands").alias("band", "code"))
-    buckets = banded.groupBy("band", "code").agg(F.min("content").alias("lo"), F.max("content").alias("hi")).where("lo < hi")
-    joined = banded.join(buckets, ["band", "code"]).select("content", F.explode(F.array("lo", "hi")).alias("other")).where("content <> other")
-    pairs = staged(joined.select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b")).distinct())
+    distinct = staged(paragraphs.groupBy("content").agg(F.first("bands").alias("bands")))
+    pairs = staged(colliding(distinct).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
     line = F.array_join(word_array(F.col("line")), " ")
     texts = lowered.select(F.explode(F.split("text", "\n")).alias("line")).select(line.alias("norm")).withColumn("content", F.xxhash64("norm"))
