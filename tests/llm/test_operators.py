@@ -191,12 +191,39 @@ def test_large_group_of_near_copies_keeps_its_links(spark):
     lowered = docs.select(F.col("doc_id").alias("id"), "text")
     found = lowered.mapInPandas(substring_dedup.unit_rows, "id long, line array<int>, first array<int>, content array<long>, bands array<array<long>>, anchor array<int>, passage array<long>")
     paragraphs = found.select("id", F.inline(F.arrays_zip("line", "first", "content", "bands")))
-    root = {r["node"]: r["root"] for r in connected_components(substring_dedup.paragraph_links(lowered, paragraphs)).collect()}
-    of = [root.get(k, k) for k in (substring_dedup.signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in texts)]
-    assert len(near) > 3000 and sum(of[i] != of[j] for i, j in near) <= 0.01 * len(near)
+    root = {r["content"]: r["root"] for r in substring_dedup.paragraph_clusters(lowered, paragraphs).collect()}
+    of = [root[substring_dedup.signed(xxhash.xxh64_intdigest(t.encode(), 42))] for t in texts]
+    assert len(near) > 3000 and sum(of[i] != of[j] for i, j in near) == 0
     assert all(of.count(x) == 1 for x in of[400:])
 
 
+def test_blocks_lose_no_link_that_collides(spark, monkeypatch):
+    """With hardly any neighbours joined and small blocks, clusters are still the components of all similar pairs that collide."""
+    monkeypatch.setattr(substring_dedup, "WINDOW", 1)
+    monkeypatch.setattr(substring_dedup, "BLOCK", 8)
+    rng, base, texts = random.Random(5), prose(81, 60).split(), []
+    for _ in range(200):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = rng.choice(WORDS)
+        texts.append(" ".join(words))
+    rows = [(i, t, substring_dedup.signed(xxhash.xxh64_intdigest(t.encode(), 42)), substring_dedup.units(t)[3][0]) for i, t in enumerate(texts)]
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
+    alike = [(i, j) for i in range(200) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) and any(x == y for x, y in zip(rows[i][3], rows[j][3]))]
+    want = list(range(200))
+    for _ in range(200):
+        for i, j in alike:
+            want[i] = want[j] = min(want[i], want[j])
+    frame = spark.createDataFrame(rows, "id long, text string, content long, bands array<long>")
+    distinct, norm = frame.select("content", "bands"), frame.select("content", F.col("text").alias("norm"))
+    links = substring_dedup.links_between_clusters(distinct.withColumn("root", F.col("content")), norm)
+    root = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    of = [root.get(r[2], r[2]) for r in rows]
+    assert len(set(want)) > 20 and len(set(zip(of, want))) == len(set(of)) == len(set(want))
+    whole = {r["content"]: r["root"] for r in substring_dedup.paragraph_clusters(frame.select("id", "text"), distinct).collect()}
+    assert [whole[r[2]] for r in rows] == of
+
+
 PYTHON = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -11,8 +11,9 @@ The first occurrence of a cluster or passage stays, by document id and place; la
 Documents that share any are linked and form components. A bucket of up to WINDOW + 1 paragraphs is
 joined whole. In a larger one each paragraph is joined to the WINDOW rows after it in the order of the
 next bands' codes, that is, to those that have most bands in common with it; that bounds pairs by the
-number of paragraphs. A link between two members of such buckets is then made by their neighbours, or
-in another band's order; README says how many are lost.
+number of paragraphs. Most of a bucket is then one cluster. Members of a large bucket that are outside
+its largest cluster are then compared with all its members, in blocks of BLOCK rows on each side, and
+only links between clusters come out; so no link of a bucket is lost, whatever its size.
 
 Nulls and ties: a null text has no words; rows of a null id have no repeats of their own and get a
 null component; rows with the same id are one document; words are compared in lower case.
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from tidemark.llm.common import body, short_batches, spread, staged, word_array
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, local_roots
 
 SHINGLE, MIN_WORDS, THRESHOLD, RECALL = 5, 20, 0.8, 0.999
 RUN, ANCHOR = 50, 16
-WINDOW, TAIL = 16, 3
+WINDOW, TAIL, BLOCK = 16, 3, 512
+#: A key with more than this share of all rows is joined by broadcast; there are at most 1000 of them.
+FREQUENT = 1 / 1000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PASSAGE = RUN - ANCHOR
 SEED = 42
@@ -144,8 +147,63 @@ def colliding(distinct: DataFrame) -> DataFrame:
     return ordered.select("band", "c0", "content").mapInPandas(neighbours, "a long, b long")
 
 
-def paragraph_links(lowered: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of content hashes whose paragraphs are similar. paragraphs: content, bands; lowered: text."""
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Inner join of left with right, which has one row for each key and, as n, how many of the left's rows have it.
+
+    Frequent keys are so few that they are broadcast; so none of them meets in one task. rows: of the left, at least.
+    """
+    frequent = F.col("n") > FREQUENT * rows
+    hot = right.where(frequent)
+    keys = F.broadcast(hot.select(*on))
+    return left.join(F.broadcast(hot), on).unionByName(left.join(keys, on, "left_anti").join(right.where(~frequent), on))
+
+
+def block_links(block: pd.DataFrame) -> pd.DataFrame:
+    """Of a block of members and one of queries, links (a, b) between different roots by exact Jaccard similarity; a star for each group linked."""
+    ids: dict[str, int] = {}
+    shingles = []
+    for text in block["norm"]:
+        w = text.split(" ")
+        shingles.append(np.unique([ids.setdefault(" ".join(w[i : i + SHINGLE]), len(ids)) for i in range(max(1, len(w) - SHINGLE + 1))]))
+    names, root = np.unique(block["root"].to_numpy(), return_inverse=True)
+    query = block["query"].to_numpy()
+    members, queries = np.flatnonzero(~query), np.flatnonzero(query)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if len(members) and len(queries):
+        sizes = np.array([len(shingles[m]) for m in members])
+        flat, owner = np.concatenate([shingles[m] for m in members]), np.repeat(np.arange(len(members)), sizes)
+        order = np.argsort(flat, kind="stable")
+        owner, bounds = owner[order], np.searchsorted(flat[order], np.arange(len(ids) + 1))
+        for q in queries:
+            held = np.concatenate([owner[bounds[t] : bounds[t + 1]] for t in shingles[q]])
+            common = np.bincount(held, minlength=len(members))
+            met = np.unique(root[members[common / (sizes + len(shingles[q]) - common) >= THRESHOLD]])
+            met = met[met != root[q]]
+            a.append(np.full(len(met), root[q]))
+            b.append(met)
+    least = local_roots(len(names), np.concatenate(a), np.concatenate(b))
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return pd.DataFrame({"a": names[least[moved]], "b": names[moved]})
+
+
+def links_between_clusters(rooted: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of roots whose clusters have similar members in a bucket of more than WINDOW + 1. rooted: content, bands, root; texts: content, norm."""
+    key = ["band", "code"]
+    rows = rooted.select("content", "root", F.posexplode("bands").alias("band", "code"))
+    held = rows.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("k"))
+    buckets = held.groupBy(*key).agg(F.sum("k").alias("n"), F.max(F.struct("k", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where((F.col("n") > WINDOW + 1) & (F.col("roots") > 1))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    buckets = staged(buckets.select(*key, "n", F.col("most.root").alias("largest"), blocks(F.col("n")).alias("m"), blocks(F.col("n") - F.col("most.k")).alias("q")))
+    members = join_counted(rows, buckets, key, BANDS * rooted.count()).join(texts, "content")
+    block = lambda seed, n: F.pmod(F.xxhash64("content", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = members.select(*key, "root", "norm", F.lit(False).alias("query"), block(1, "m").alias("mb"), every("q").alias("qb"))
+    asking = members.where(F.col("root") != F.col("largest")).select(*key, "root", "norm", F.lit(True).alias("query"), every("m").alias("mb"), block(2, "q").alias("qb"))
+    return asked.unionByName(asking).groupBy(*key, "mb", "qb").applyInPandas(block_links, "a long, b long")
+
+
+def paragraph_clusters(lowered: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(content, root) of each content hash; similar paragraphs that collide in a band have one root. paragraphs: content, bands; lowered: text."""
     distinct = staged(paragraphs.groupBy("content").agg(F.first("bands").alias("bands")))
     pairs = staged(colliding(distinct).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()
@@ -153,7 +211,13 @@ def paragraph_links(lowered: DataFrame, paragraphs: DataFrame) -> DataFrame:
     texts = lowered.select(F.explode(F.split("text", "\n")).alias("line")).select(line.alias("norm")).withColumn("content", F.xxhash64("norm"))
     texts = staged(texts.join(wanted, "content", "left_semi").dropDuplicates(["content"]))
     both = pairs.join(texts.select(F.col("content").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("content").alias("b"), F.col("norm").alias("y")), "b")
-    return both.where(jaccard("x", "y") >= THRESHOLD).select("a", "b")
+    near = connected_components(both.where(jaccard("x", "y") >= THRESHOLD)).select(F.col("node").alias("content"), "root")
+    rooted = staged(distinct.join(near, "content", "left").withColumn("root", F.coalesce("root", "content")))
+    far = staged(links_between_clusters(rooted, texts))
+    if far.isEmpty():
+        return rooted.select("content", "root")
+    higher = connected_components(far).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    return rooted.join(higher, "root", "left").select("content", F.coalesce("higher", "root").alias("root"))
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,9 +232,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     paragraphs = found.select("id", F.inline(F.arrays_zip("line", "first", "content", "bands")))
     passages = found.select("id", F.inline(F.arrays_zip(F.col("anchor").alias("place"), F.col("passage").alias("cluster"))))
 
-    roots = connected_components(paragraph_links(lowered, paragraphs)).select(F.col("node").alias("content"), "root")
+    roots = paragraph_clusters(lowered, paragraphs).withColumnRenamed("root", "cluster")
     counted = paragraphs.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("at"))
-    counted = counted.join(roots, "content", "left").withColumn("cluster", F.coalesce("root", "content"))
+    counted = staged(counted.join(roots, "content"))
     clusters = counted.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("n > 1")
     repeated = counted.select("content", "cluster").join(clusters, "cluster").select("content", "cluster", F.col("at.id").alias("keeper"), F.col("at.line").alias("keeper_place"))
     first = paragraphs.select("id", "line", "first", "content").join(repeated, "content").select("id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), F.col("line").alias("place"), "cluster", "keeper", "keeper_place")
