@@ -235,12 +235,15 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     roots = paragraph_clusters(lowered, paragraphs).withColumnRenamed("root", "cluster")
     counted = paragraphs.groupBy("content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "line")).alias("at"))
     counted = staged(counted.join(roots, "content"))
-    clusters = counted.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("n > 1")
-    repeated = counted.select("content", "cluster").join(clusters, "cluster").select("content", "cluster", F.col("at.id").alias("keeper"), F.col("at.line").alias("keeper_place"))
-    first = paragraphs.select("id", "line", "first", "content").join(repeated, "content").select("id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), F.col("line").alias("place"), "cluster", "keeper", "keeper_place")
-
-    twice = passages.groupBy("cluster").agg(F.min(F.struct("id", "place")).alias("at"), F.max("id").alias("last")).where("at.id < last")
-    second = passages.join(twice, "cluster").select("id", F.lit("passage").alias("kind"), F.col("place").alias("first_word"), "place", "cluster", F.col("at.id").alias("keeper"), F.col("at.place").alias("keeper_place"))
+    clusters = counted.groupBy("cluster").agg(F.sum("n").alias("paragraphs"), F.min("at").alias("at"), F.count(F.lit(1)).alias("n")).where("paragraphs > 1")
+    first_at = [F.col("at.id").alias("keeper"), F.col("at.line").alias("keeper_place")]
+    repeated = join_counted(counted.select("content", "cluster", F.col("n").alias("rows")), clusters, ["cluster"], counted.count()).select("content", "cluster", F.col("rows").alias("n"), *first_at)
+    sums = found.agg(F.coalesce(F.sum(F.size("line")), F.lit(0)), F.coalesce(F.sum(F.size("anchor")), F.lit(0))).first()
+    first = join_counted(paragraphs.select("id", "line", "first", "content"), staged(repeated), ["content"], sums[0])
+    first = first.select("id", F.lit("paragraph").alias("kind"), F.col("first").alias("first_word"), F.col("line").alias("place"), "cluster", "keeper", "keeper_place")
+
+    twice = staged(passages.groupBy("cluster").agg(F.min(F.struct("id", "place")).alias("at"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("at.id < last"))
+    second = join_counted(passages, twice, ["cluster"], sums[1]).select("id", F.lit("passage").alias("kind"), F.col("place").alias("first_word"), "place", "cluster", F.col("at.id").alias("keeper"), F.col("at.place").alias("keeper_place"))
     both = first.unionByName(second)
     return both.withColumn("removed", (F.col("id") != F.col("keeper")) | (F.col("place") != F.col("keeper_place")))
 
