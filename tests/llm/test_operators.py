@@ -301,3 +301,21 @@ def test_pages(spark):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
         assert len(html_text.common_lines(a, b)) == table[-1][-1]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>a<img class="social-icon">b<input class="search"><hr class="widget"><p>c</article>', ["ab", "c"]),
+        ("<head><meta charset='x'><title>t</title><article><p>a</article>", ["a"]),
+        ("<head><title>t<body><article><p>a</article>", ["a"]),
+        ("<body><nav><ul><li>Menu</ul><article><p>a<p>b</article>", ["a", "b"]),
+        ("<div><form>Login<input></div><article><p>a</article></form>", ["a"]),
+        ("<article><select><option>o<p>a</p></article>", ["a"]),
+        ('<article><h2 id="related-work">a</h2><p id="search-methods">b</p><section class="social-history"><p>c</section><div class="share">no</div></article>', ["a", "b", "c"]),
+        ('<article><div class="ad">no<div><p>no</div>no</div><ul><li class="ad">no<li>a</ul><p class=ad>no<p>b<p data-id="ad">c</article>', ["a", "b", "c"]),
+        ("<article><nav/><p>a<nav class=x/>no</nav>b</article>", ["a", "b"]),
+    ],
+)
+def test_frame_ends_with_its_element(page, text):
+    assert html_text.main_text(html_text.lines_of(page), None).split("\n\n") == text

@@ -10,6 +10,9 @@ nor an advert that only one page has. So the mark-up has a say: lines inside the
 (or main, or a body of that role) are never deleted, and what the mark-up names as frame (navigation,
 page headers, footers, asides, forms, adverts, notices, reader comments) goes even if no neighbour
 has it. If a page has an article, the rest of the page is frame; if not, differencing decides.
+An element of the frame ends with its own end tag; without one, before the next block that is no list
+or with its parent. Void elements are never frame. Inside an article whole class names and roles
+count, parts of them and ids don't.
 
 Nulls and ties: a null page is empty; a page without URL has no partner; pages of the same URL are
 partners, and without an article equal pages would delete each other: a partner whose lines are all
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,8 +34,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import short_batches, spread
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "head", "title", "object", "select"))
+NAMES = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "object", "select"))
+#: What follows their start tag is code up to the page's end if they have no end tag.
+CODE = frozenset(("script", "style"))
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Attributes of a tag like <nav/>, which holds nothing; not of <nav class=a/>.
+EMPTY = re.compile(r"""(?:^|[\s"'])/\Z""")
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody thead tfoot tr ul caption".split()
 )
@@ -42,23 +52,118 @@ FRAME_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset(("header",))
 SPACES = re.compile(r"[\s_-]+")
-#: Elements whose end tag may be missing: the next block ends them.
+#: Elements whose end tag may be missing: the next of their kind ends them, or a block, or their parent.
 LOOSE = frozenset(("p", "li", "dt", "dd", "tr", "td", "th"))
+LISTS = frozenset(("ul", "ol", "li", "dl", "dt", "dd"))
+TABLE = frozenset(("table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"))
+#: Where the search for an open element stops: at any of SPECIAL for an inline element, at SCOPE for others.
+SPECIAL = BLOCKS | {"td", "th", "menu", "button"}
+SCOPE = frozenset(("table", "caption", "td", "th"))
+#: The open elements that a start tag ends, and where the search for them stops.
+SIBLINGS = (
+    {"li": (frozenset(("li",)), BLOCKS - {"address", "div", "p"})}
+    | dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), BLOCKS - {"address", "div", "p"}))
+    | dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(("tr", "table"))))
+    | {"tr": (frozenset(("tr",)), frozenset(("table",)))}
+    | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset(("tbody", "thead", "tfoot")), frozenset(("table",))))
+)
 
 
 def frame(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in FRAME_TAGS and not (inside_article and tag == "header"):
         return True
-    words = {w for m in NAMES.finditer(attributes) for w in SPACES.split((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
-    return bool(words) and tag not in ("html", "body", "article", "main") and (not FRAME_WORDS.isdisjoint(words) or not inside_article and not HEADER_WORDS.isdisjoint(words))
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    names = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in NAMES.finditer(attributes)]
+    if inside_article:  # ids are anchors there, and parts of names say what a section is about
+        return any(not FRAME_WORDS.isdisjoint(x.split()) for k, x in names if k != "id")
+    words = {w for _, x in names for w in SPACES.split(x)}
+    return not FRAME_WORDS.isdisjoint(words) or not HEADER_WORDS.isdisjoint(words)
+
+
+def tokens_of(page: str) -> list[tuple[str, str, bool, str]]:
+    """(text before, tag, whether it is an end tag, attributes) of each tag, then the last text. Raw elements that end are left out."""
+    out, text, at = [], "", 0
+    while m := TOKEN.search(page, at):
+        text += page[at : m.start()]
+        at = m.end()
+        if not m[2]:
+            continue
+        tag, closing = m[2].lower(), bool(m[1])
+        if tag in RAW:
+            if closing or EMPTY.search(m[3]):
+                continue
+            if end := re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at):
+                at = end.end()
+                continue
+            if tag in CODE:
+                at = len(page)
+                break
+        out.append((text, tag, closing, m[3]))
+        text = ""
+    return [*out, (text + page[at:], "", False, "")]
+
+
+def ends_of(tokens: list[tuple[str, str, bool, str]]) -> dict[int, tuple[int, int]]:
+    """From the number of each start tag to those of the first tag outside its element and of the tag that ends its text.
+
+    A loose element (LOOSE) ends before the next of its kind or with its parent, any other with its own end tag. If it has
+    none it ends before the next block that is no list, or with its parent: what else follows is not known to be its own.
+    """
+    ends: dict[int, tuple[int, int]] = {}
+    stack: list[tuple[str, int]] = []
+    number: Counter[str] = Counter()  # of open elements of a name
+    last: dict[int, int] = {}  # where unended elements must end
+    plain = [i for i, (_, tag, closing, _) in enumerate(tokens) if tag in BLOCKS and tag not in LISTS and not closing]
+
+    def close(names: frozenset[str], stops: frozenset[str], i: int, own: bool) -> None:
+        if not any(number[x] for x in names):
+            return
+        k = len(stack) - 1
+        while k >= 0 and stack[k][0] not in names:
+            if stack[k][0] in stops:
+                return
+            k -= 1
+        for name, j in stack[k:] if k >= 0 else ():
+            number[name] -= 1
+            last[j] = i
+        if k >= 0:
+            if own:
+                ends[stack[k][1]] = (i + 1, i)
+            del stack[k:]
+
+    for i, (_, tag, closing, attributes) in enumerate(tokens):
+        if not tag or tag in VOID and closing:
+            continue
+        if closing:
+            close(frozenset((tag,)), frozenset(("table",)) if tag in TABLE else SCOPE if tag in SPECIAL else SPECIAL, i, True)
+            continue
+        if tag in BLOCKS:
+            close(frozenset(("p",)), SCOPE, i, False)
+        if tag in SIBLINGS:
+            close(*SIBLINGS[tag], i, False)
+        if tag not in VOID and not EMPTY.search(attributes):
+            stack.append((tag, i))
+            number[tag] += 1
+    for i, (_, tag, closing, attributes) in enumerate(tokens):
+        if tag and not closing and i not in ends:
+            end = last.get(i, len(tokens))
+            if tag not in LOOSE:
+                k = bisect_right(plain, i)
+                end = min(end, plain[k] if k < len(plain) else end)
+            ends[i] = (end, end)
+    return ends
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
     """The page's text lines outside its frame, each with whether it is inside an article; whether there is an article."""
     out: list[tuple[str, bool]] = []
     words: list[str] = []
-    at = articles = depth = 0
-    any_article, skip = False, ""  # skip: the element of the frame that is open; depth: how many of its name
+    articles = until = 0  # until: the first tag outside the element of the frame that is open
+    hidden = -1  # the last tag before which text is in that element
+    any_article = False
+    tokens = tokens_of(page)
+    ends = ends_of(tokens)
 
     def end_line() -> None:
         if words:
@@ -66,45 +171,22 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
                 out.append((line, articles > 0))
             words.clear()
 
-    while True:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
-        if text and not skip:
+    for i, (text, tag, closing, attributes) in enumerate(tokens):
+        if text and i > hidden:
             words.append(text)
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if i < until or not tag:
             continue
-        if skip:
-            if tag == skip:
-                depth += -1 if closing else 0 if m[3].endswith("/") or skip in LOOSE else 1
-                if skip in LOOSE and not closing:
-                    depth = 0
-            elif skip in LOOSE and tag in BLOCKS:
-                depth = 0
-            if depth > 0:
-                continue
-            skip = ""
-            if closing:
-                continue
         if tag in BLOCKS:
             end_line()
         elif tag in ("br", "td", "th"):
             words.append(" ")
-        if tag in ("article", "main") or not closing and m[3] and tag in BLOCKS and re.search(r"""\brole\s*=\s*["']?(?:main|article)\b""", m[3], re.I):
+        if tag in ("article", "main") or not closing and attributes and tag in BLOCKS and re.search(r"""\brole\s*=\s*["']?(?:main|article)\b""", attributes, re.I):
             if tag in ("article", "main"):
                 articles = max(0, articles - 1) if closing else articles + 1
                 any_article = True
-        elif not closing and not m[3].endswith("/") and frame(tag, m[3], articles > 0):
+        elif not closing and tag not in VOID and not EMPTY.search(attributes) and (tag in RAW or frame(tag, attributes, articles > 0)):
             end_line()
-            skip, depth = tag, 1
+            until, hidden = ends[i]
     end_line()
     return out, any_article
 
