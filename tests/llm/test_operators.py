@@ -319,3 +319,23 @@ def test_pages(spark):
 )
 def test_frame_ends_with_its_element(page, text):
     assert html_text.main_text(html_text.lines_of(page), None).split("\n\n") == text
+
+
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(BPE)
+    for text in ("a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "a" + " " * 1_000_000 + "b", "\t\n" * 500_000, "a  b " * 30_000):
+        want = default.encode(text, add_special_tokens=False).ids
+        assert packing.encoder(BPE, special=True)(text) == want
+        if "<|" not in text:
+            assert packing.encoder(BPE)(text) == want
+    assert packing.encoder(BPE, special=True)("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+def test_packing_query_uses_added_tokens(spark, tmp_path):
+    from tidemark.llm import queries
+
+    spark.createDataFrame([(1, "a <|endoftext|> b"), (2, " " * 1_000_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lengths = queries.op8_packing(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in lengths} == {1: 5, 2: 1_000_001}
