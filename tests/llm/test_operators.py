@@ -318,7 +318,7 @@ def test_pages(spark):
     ],
 )
 def test_frame_ends_with_its_element(page, text):
-    assert html_text.main_text(html_text.lines_of(page), None).split("\n\n") == text
+    assert html_text.main_text(html_text.lines_of(page)).split("\n\n") == text
 
 
 def test_ids_are_those_of_the_library():
@@ -339,3 +339,20 @@ def test_packing_query_uses_added_tokens(spark, tmp_path):
     spark.createDataFrame([(1, "a <|endoftext|> b"), (2, " " * 1_000_000)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     lengths = queries.op8_packing(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
     assert {r["doc_id"]: r["n"] for r in lengths} == {1: 5, 2: 1_000_001}
+
+
+def test_shared_lines_inside_articles_go(spark):
+    notice, story = "We have moved to a new house", prose(60, 40)
+    page = lambda k, text: f"<article><div>Start<ul><li>Archive</ul></div><p>{text}</p><p>Line of {k}</p><p>{notice}</p></article><article class='comment'><p>Me too</p></article>"
+    own = {k: prose(k, 40) for k in (1, 2, 3)}
+    # Page 4 is page 2 under another address; 5 and 6 are versions of one story on a host of their own; 7 and 8 have one neighbour.
+    rows = [(k, f"http://a.x/{k}", page(k, t)) for k, t in own.items()] + [(4, "http://a.x/22", page(2, own[2]))]
+    rows += [(5, "http://b.x/1", page(5, story)), (6, "http://b.x/2", page(6, story)), (7, "http://c.x/1", page(7, own[1])), (8, "http://c.x/2", page(8, own[2]))]
+    out = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[2] == out[4] == f"{own[2]}\n\nLine of 2"
+    assert [out[k] for k in (1, 3, 7, 8)] == [f"{own[t]}\n\nLine of {k}\n\n{notice}" for k, t in ((1, 1), (3, 3), (7, 1), (8, 2))]
+    assert [out[k] for k in (5, 6)] == [f"Start\n\nArchive\n\n{story}\n\nLine of {k}\n\n{notice}" for k in (5, 6)]
+    short = lambda k: f"<article><h1>One title</h1><p>One short text</p><p>Line of {k}</p></article>"
+    rows = [(k, f"http://d.x/{k}", short(k)) for k in range(3)]
+    out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"One title\n\nOne short text\n\nLine of {r['page_id']}" for r in out)

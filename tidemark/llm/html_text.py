@@ -2,21 +2,24 @@
 
 Pages are sorted by range of (host, path, id), so that a host of any size lies across many tasks.
 Each page is paired with that neighbour of its host, before or after it, whose path shares the
-longer prefix with its own; the text lines of both are aligned by longest common subsequence, and
-lines that align are the site's frame and go. The first or last page of a task has one neighbour only.
+longer prefix with its own; pages with the same lines as its own are passed over. The text lines of
+both are aligned by longest common subsequence, and lines that align are the site's frame and go.
+The pages at the edge of a task have neighbours on one side only.
 
 Differencing alone can't tell a paragraph that two articles share from a menu that two pages share,
-nor an advert that only one page has. So the mark-up has a say: lines inside the article element
-(or main, or a body of that role) are never deleted, and what the mark-up names as frame (navigation,
+nor an advert that only one page has. So the mark-up has a say: what it names as frame (navigation,
 page headers, footers, asides, forms, adverts, notices, reader comments) goes even if no neighbour
-has it. If a page has an article, the rest of the page is frame; if not, differencing decides.
+has it, and if a page has an article (or main), the rest of the page is frame. Inside an article a
+line that aligns goes if the mark-up doesn't call it text (as in a div or a list). A paragraph, heading
+or table row goes if it aligns with both neighbours and has fewer than LONG words, and stays otherwise.
+A neighbour that shares the article's h1 or a line of LONG words or more in it tells the same story; the
+lines it shares say nothing about the frame, so only the other neighbour counts, if any.
 An element of the frame ends with its own end tag; without one, before the next block that is no list
 or with its parent. Void elements are never frame. Inside an article whole class names and roles
 count, parts of them and ids don't.
 
 Nulls and ties: a null page is empty; a page without URL has no partner; pages of the same URL are
-partners, and without an article equal pages would delete each other: a partner whose lines are all
-equal doesn't count.
+neighbours. A partner that has all lines of a page doesn't count.
 """
 
 from __future__ import annotations
@@ -54,6 +57,12 @@ HEADER_WORDS = frozenset(("header",))
 SPACES = re.compile(r"[\s_-]+")
 #: Elements whose end tag may be missing: the next of their kind ends them, or a block, or their parent.
 LOOSE = frozenset(("p", "li", "dt", "dd", "tr", "td", "th"))
+#: An article's line of so many words is a paragraph, not frame, if a neighbour has it.
+LONG = 20
+#: Blocks whose lines are text by their mark-up.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre tr dd figcaption".split())
+#: Where a line stands: outside articles, inside one, inside one in a block of PROSE, in its h1.
+OUTSIDE, INSIDE, TEXT, TITLE = 0, 1, 2, 3
 LISTS = frozenset(("ul", "ol", "li", "dl", "dt", "dd"))
 TABLE = frozenset(("table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"))
 #: Where the search for an open element stops: at any of SPECIAL for an inline element, at SCOPE for others.
@@ -72,7 +81,7 @@ SIBLINGS = (
 def frame(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in FRAME_TAGS and not (inside_article and tag == "header"):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     names = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower()) for m in NAMES.finditer(attributes)]
     if inside_article:  # ids are anchors there, and parts of names say what a section is about
@@ -155,20 +164,20 @@ def ends_of(tokens: list[tuple[str, str, bool, str]]) -> dict[int, tuple[int, in
     return ends
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """The page's text lines outside its frame, each with whether it is inside an article; whether there is an article."""
-    out: list[tuple[str, bool]] = []
+def lines_of(page: str) -> tuple[list[tuple[str, int]], bool]:
+    """The page's text lines outside its frame, each with where it stands (OUTSIDE to TITLE); whether there is an article."""
+    out: list[tuple[str, int]] = []
     words: list[str] = []
     articles = until = 0  # until: the first tag outside the element of the frame that is open
     hidden = -1  # the last tag before which text is in that element
-    any_article = False
+    any_article, block = False, ""  # block: the one that began last, if it is open
     tokens = tokens_of(page)
     ends = ends_of(tokens)
 
     def end_line() -> None:
         if words:
             if line := " ".join(html.unescape("".join(words)).split()):
-                out.append((line, articles > 0))
+                out.append((line, OUTSIDE if not articles else TITLE if block == "h1" else TEXT if block in PROSE else INSIDE))
             words.clear()
 
     for i, (text, tag, closing, attributes) in enumerate(tokens):
@@ -178,13 +187,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             continue
         if tag in BLOCKS:
             end_line()
+            block = "" if closing else tag
         elif tag in ("br", "td", "th"):
             words.append(" ")
-        if tag in ("article", "main") or not closing and attributes and tag in BLOCKS and re.search(r"""\brole\s*=\s*["']?(?:main|article)\b""", attributes, re.I):
+        #: An article within or after another may be frame, as a reader's comment is.
+        comment = tag == "article" and any_article and not closing and frame(tag, attributes, True)
+        if not comment and (tag in ("article", "main") or not closing and attributes and tag in BLOCKS and re.search(r"""\brole\s*=\s*["']?(?:main|article)\b""", attributes, re.I)):
             if tag in ("article", "main"):
                 articles = max(0, articles - 1) if closing else articles + 1
                 any_article = True
-        elif not closing and tag not in VOID and not EMPTY.search(attributes) and (tag in RAW or frame(tag, attributes, articles > 0)):
+        elif not closing and tag not in VOID and not EMPTY.search(attributes) and (comment or tag in RAW or frame(tag, attributes, articles > 0)):
             end_line()
             until, hidden = ends[i]
     end_line()
@@ -220,13 +232,15 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: tuple[list[tuple[str, bool]], bool], partner: tuple[list[tuple[str, bool]], bool] | None) -> str:
+def main_text(own: tuple[list[tuple[str, int]], bool], *partners: tuple[list[tuple[str, int]], bool]) -> str:
+    """What stays of a page; its partners, the nearest first."""
     lines, has_article = own
-    texts = [x for x, _ in lines]
-    shared = common_lines(texts, [x for x, _ in partner[0]]) if partner else set()
-    if len(shared) == len(lines):
-        shared = set()
-    return "\n\n".join(x for k, (x, inside) in enumerate(lines) if inside or not has_article and k not in shared)
+    shared = [c for c in (common_lines([x for x, _ in lines], [x for x, _ in p[0]]) for p in partners[: 2 if has_article else 1]) if len(c) < len(lines)]
+    if has_article:
+        shared = [c for c in shared if not any(lines[i][1] == TITLE or lines[i][1] and len(lines[i][0].split()) >= LONG for i in c)]
+    near = shared[0] if shared else set()
+    gone = {OUTSIDE: near, INSIDE: near, TEXT: near & shared[1] if len(shared) > 1 else set()}
+    return "\n\n".join(x for k, (x, place) in enumerate(lines) if (place or not has_article) and k not in gone.get(place, ()))
 
 
 def prefix(a: str, b: str) -> int:
@@ -235,27 +249,34 @@ def prefix(a: str, b: str) -> int:
 
 
 def differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Walks a task's pages in order with the page before and the page after at hand."""
-    before = here = None  # (row, host, path, lines)
+    """Walks a task's pages in order, neighbours of a host with the same lines as one run, with the run before and the run after at hand."""
+    before = here = None  # (host, path of the last page, lines, (row, path) of each page)
 
-    def result(after):
-        row, host, path, own = here
-        near = [x for x in (before, after) if x is not None and host and x[1] == host]
-        partner = max(near, key=lambda x: prefix(x[2], path), default=None)
-        return (*row, main_text(own, partner and partner[3]))
+    def results(after):
+        host, _, own, pages = here
+        near = [x for x in (before, after) if x is not None and host and x[0] == host]
+        for row, path in pages:
+            nearest = sorted(near, key=lambda x: -prefix(x[1], path))
+            yield (*row, main_text(own, *[x[2] for x in nearest]))
 
     columns = ["page_id", "url", "text"]
     for b in batches:
         out = []
         for page_id, url, host, path, page in zip(b["page_id"], b["url"], b["host"], b["path"], b["html"], strict=True):
-            after = ((page_id, url), host, path, lines_of(page))
+            own, row = lines_of(page), (page_id, url)
+            if here is not None and here[0] == host and here[2] == own:
+                here = (host, path, own, here[3])
+                here[3].append((row, path))
+                continue
+            after = (host, path, own, [(row, path)])
             if here is not None:
-                out.append(result(after))
+                out += results(after)
+                here = (*here[:3], [])
             before, here = here, after
         if out:
             yield pd.DataFrame(out, columns=columns)
     if here is not None:
-        yield pd.DataFrame([result(None)], columns=columns)
+        yield pd.DataFrame(list(results(None)), columns=columns)
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
