@@ -58,6 +58,7 @@ def test_hard_rows_keep_their_number(spark, hard, none, labels):
         assert simhash.simhash_components(docs).count() == expected
         assert pii.personal_data(docs).count() == expected
         assert substring_dedup.drop_repeats(docs).count() == expected
+        assert substring_dedup.repeat_components(docs).count() == docs.select("doc_id").distinct().count()
         pieces = packing.pack(docs, BPE).toPandas()
         assert (pieces["piece"] == 0).sum() == expected
         mixing.mixed_rows(docs).count()
@@ -176,52 +177,91 @@ def test_bands_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
 
 
+def clusters_of(spark, texts: list[str]) -> list[int]:
+    """The root of each text, one paragraph each."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    lowered = docs.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    found = lowered.mapInArrow(substring_dedup.unit_rows, substring_dedup.FOUND)
+    rows = found.select("id", "text_hash", F.inline(F.arrays_zip("line", "start", "length", "content", "bands", "marks")))
+    distinct = rows.groupBy("content").agg(F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.min(F.struct("id", "line", "text_hash", "start", "length")).alias("at")).cache()
+    root = {r["content"]: r["root"] for r in substring_dedup.paragraph_clusters(lowered, distinct).collect()}
+    return [root[substring_dedup.xxhash.xxh64_intdigest(" ".join(t.split()).encode(), 42) - (1 << 64) * (substring_dedup.xxhash.xxh64_intdigest(" ".join(t.split()).encode(), 42) >> 63)] for t in texts]
+
+
+def changed(base: list[str], rng: random.Random, least: int, most: int) -> str:
+    words = list(base)
+    for _ in range(rng.randrange(least, most)):
+        words[rng.randrange(len(words))] = rng.choice(WORDS)
+    return " ".join(words)
+
+
+def near_pairs(texts: list[str]) -> list[tuple[int, int]]:
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    return [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
+
+
 def test_large_group_of_near_copies_keeps_its_links(spark):
     rng, base = random.Random(11), prose(80, 120).split()
-    texts = []
-    for _ in range(400):
-        words = list(base)
-        for _ in range(rng.randrange(1, 4)):
-            words[rng.randrange(len(words))] = rng.choice(WORDS)
-        texts.append(" ".join(words))
-    texts += [prose(1000 + k, 60) for k in range(50)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])]
-    lowered = docs.select(F.col("doc_id").alias("id"), "text")
-    found = lowered.mapInPandas(substring_dedup.unit_rows, "id long, line array<int>, first array<int>, content array<long>, bands array<array<long>>, anchor array<int>, passage array<long>")
-    paragraphs = found.select("id", F.inline(F.arrays_zip("line", "first", "content", "bands")))
-    root = {r["content"]: r["root"] for r in substring_dedup.paragraph_clusters(lowered, paragraphs).collect()}
-    of = [root[substring_dedup.signed(xxhash.xxh64_intdigest(t.encode(), 42))] for t in texts]
+    texts = [changed(base, rng, 1, 4) for _ in range(400)] + [prose(1000 + k, 60) for k in range(50)]
+    near, of = near_pairs(texts), clusters_of(spark, texts)
     assert len(near) > 3000 and sum(of[i] != of[j] for i, j in near) == 0
     assert all(of.count(x) == 1 for x in of[400:])
 
 
-def test_blocks_lose_no_link_that_collides(spark, monkeypatch):
-    """With hardly any neighbours joined and small blocks, clusters are still the components of all similar pairs that collide."""
-    monkeypatch.setattr(substring_dedup, "WINDOW", 1)
+@pytest.mark.parametrize("window", [1, 16])
+def test_clusters_are_components_of_similar_pairs(spark, monkeypatch, window):
+    """Also with hardly any neighbours joined and small blocks."""
+    monkeypatch.setattr(substring_dedup, "WINDOW", window)
     monkeypatch.setattr(substring_dedup, "BLOCK", 8)
-    rng, base, texts = random.Random(5), prose(81, 60).split(), []
-    for _ in range(200):
-        words = list(base)
-        for _ in range(rng.randrange(1, 6)):
-            words[rng.randrange(len(words))] = rng.choice(WORDS)
-        texts.append(" ".join(words))
-    rows = [(i, t, substring_dedup.signed(xxhash.xxh64_intdigest(t.encode(), 42)), substring_dedup.units(t)[3][0]) for i, t in enumerate(texts)]
-    shingles = [{tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts]
-    alike = [(i, j) for i in range(200) for j in range(i) if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) and any(x == y for x, y in zip(rows[i][3], rows[j][3]))]
+    rng, base = random.Random(5), prose(81, 60).split()
+    texts = [changed(base, rng, 1, 6) for _ in range(200)]
     want = list(range(200))
     for _ in range(200):
-        for i, j in alike:
+        for i, j in near_pairs(texts):
             want[i] = want[j] = min(want[i], want[j])
-    frame = spark.createDataFrame(rows, "id long, text string, content long, bands array<long>")
-    distinct, norm = frame.select("content", "bands"), frame.select("content", F.col("text").alias("norm"))
-    links = substring_dedup.links_between_clusters(distinct.withColumn("root", F.col("content")), norm)
-    root = {r["node"]: r["root"] for r in connected_components(links).collect()}
-    of = [root.get(r[2], r[2]) for r in rows]
+    of = clusters_of(spark, texts)
     assert len(set(want)) > 20 and len(set(zip(of, want))) == len(set(of)) == len(set(want))
-    whole = {r["content"]: r["root"] for r in substring_dedup.paragraph_clusters(frame.select("id", "text"), distinct).collect()}
-    assert [whole[r[2]] for r in rows] == of
+
+
+def test_units_match_brute_force():
+    rng = random.Random(17)
+    line = lambda n: rng.choice([" ", "  ", "\t"]).join(rng.choice([*WORDS, "ü" * 300, "😀"]) for _ in range(n))
+    texts = ["\n".join(line(rng.choice([0, 1, 3, 7, 19, 20, 45])) for _ in range(rng.randrange(12))) for _ in range(60)] + ["", " \n\t", "a", "a b c", "x y z " * 300]
+    data = [t.encode() for t in texts]
+    first = np.cumsum([0, *map(len, data)])[:-1]
+    paragraphs, passages = substring_dedup.units(np.frombuffer(b"".join(data), np.uint8), first)
+    got, keys, at = collections.defaultdict(list), {}, collections.defaultdict(set)
+    for k, t in enumerate(paragraphs["text"].tolist()):
+        a, n = paragraphs["start"][k], paragraphs["length"][k]
+        got[t].append((paragraphs["line"][k], paragraphs["lines"][k], paragraphs["first"][k], data[t][a : a + n].split()))
+    for t, place, cluster in zip(*(passages[c].tolist() for c in ("text", "place", "cluster"))):
+        words = tuple(data[t].split()[place : place + substring_dedup.PASSAGE])
+        assert len(words) == substring_dedup.PASSAGE and keys.setdefault(cluster, words) == words
+        at[t].add(place)
+    assert len(set(keys.values())) == len(keys)
+    for t, raw in enumerate(data):
+        lines, runs, word = [x.split() for x in raw.split(b"\n")], [], 0
+        for k, w in enumerate(lines):
+            if w:
+                if len(w) < 20 and runs and not runs[-1][0]:
+                    runs[-1][2].extend(w)
+                    runs[-1][4] = k
+                else:
+                    runs.append([len(w) >= 20, k, list(w), word, k])
+            word += len(w)
+        assert got[t] == [(k, last - k + 1, w0, w) for long, k, w, w0, last in runs if len(w) >= 20 or len(runs) == 1]
+        # Wherever 50 words stand, a passage of them is found in its first 16 places.
+        assert all(at[t] & set(range(i, i + 16)) for i in range(word - 49))
+
+
+def test_short_texts_string_ids_and_rows_with_one_id(spark):
+    verse = "\n".join(prose(500 + k, 7) for k in range(8))
+    rows = [("b", "Drei kurze Worte"), ("a", "drei  kurze worte"), ("c", "vier ganz andere Worte"), ("d", verse), ("e", f"{verse}\n{prose(9, 30)}"), (None, verse), ("f", prose(3, 30)), ("f", prose(4, 30)), ("g", prose(4, 30))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    out = {r["id"]: r for r in substring_dedup.repeat_components(docs).collect()}
+    assert {k: r["component_id"] for k, r in out.items()} == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d", "f": "f", "g": "f", None: None}
+    kept = [(r["doc_id"], r["text"]) for r in substring_dedup.drop_repeats(docs).collect()]
+    assert ("e", prose(9, 30)) in kept and ("f", prose(3, 30)) in kept and ("f", prose(4, 30)) in kept and ("g", "") in kept and ("b", "") in kept
 
 
 PYTHON = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
