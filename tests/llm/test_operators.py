@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -327,7 +328,7 @@ def test_media_round_trip_and_alignment(spark):
     assert known.count() == 1
 
 
-def test_pages(spark):
+def test_pages(spark, monkeypatch):
     article = "<nav><p>Menu</p></nav><div class='ad'>Buy<div>x</div></div><article><h1>T &amp; t</h1><p><b>one\n two<br><p>three<aside>no</aside><div class='comments'><p>hi</p></div></article><footer>f</footer>"
     plain = lambda k: f"<div>Site title</div><p>Own text {k}</p><form><p>Login</p></form><p>About us</p><script>var a='</p>'</script>"
     rows = [(1, "http://a.x/en/1", article), (2, "http://b.x/1", plain(1)), (3, "http://b.x/12", plain(2)), (4, None, None), (5, "http://c.x/", "<p>alone"), (6, "http://c.x/", "<p>alone"), (7, "bad", "a &lt; b <!-- c --> d")]
@@ -340,7 +341,12 @@ def test_pages(spark):
         for i in range(len(a)):
             for j in range(len(b)):
                 table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert len(html_text.common_lines(a, b)) == table[-1][-1]
+        for small in (1 << 22, 2):
+            monkeypatch.setattr(html_text, "SMALL", small)
+            found = sorted(html_text.common_lines(a, b))
+            assert len(found) == table[-1][-1]
+            rest = iter(b)
+            assert all(any(a[i] == y for y in rest) for i in found)
 
 
 @pytest.mark.parametrize(
@@ -354,11 +360,14 @@ def test_pages(spark):
         ("<article><select><option>o<p>a</p></article>", ["a"]),
         ('<article><h2 id="related-work">a</h2><p id="search-methods">b</p><section class="social-history"><p>c</section><div class="share">no</div></article>', ["a", "b", "c"]),
         ('<article><div class="ad">no<div><p>no</div>no</div><ul><li class="ad">no<li>a</ul><p class=ad>no<p>b<p data-id="ad">c</article>', ["a", "b", "c"]),
+        ('<body><div class="menu">no</div><div role="main"><p>a</p><div>b</div></div><div>no</div>', ["a", "b"]),
+        ('<article><p>a <span class="share">b</span> c</p><span class="share">no</span></article>', ["a b c"]),
+        ("<article><p title=it's>a</p><p title='x>y' class=\"it's\">b</article>", ["a", "b"]),
         ("<article><nav/><p>a<nav class=x/>no</nav>b</article>", ["a", "b"]),
     ],
 )
 def test_frame_ends_with_its_element(page, text):
-    assert html_text.main_text(html_text.lines_of(page)).split("\n\n") == text
+    assert html_text.main_text(html_text.lines_of(page))[0].split("\n\n") == text
 
 
 def test_ids_are_those_of_the_library():
@@ -396,3 +405,46 @@ def test_shared_lines_inside_articles_go(spark):
     rows = [(k, f"http://d.x/{k}", short(k)) for k in range(3)]
     out = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"One title\n\nOne short text\n\nLine of {r['page_id']}" for r in out)
+
+
+def brute_pages(rows):
+    """Every page against the nearest ones before and after it, on its host, whose lines differ."""
+    parts = []
+    for key, url, page in rows:
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", url or "")
+        parts.append(((m[1].lower(), m[2]) if m else ("", ""), "-" if key is None else f"+{key}", html_text.lines_of(page or ""), page or "", (key, url)))
+    parts.sort(key=lambda p: (p[0], p[1]))
+    out = collections.Counter()
+    for k, ((host, path), _, own, _, row) in enumerate(parts):
+        before = next((p for p in parts[:k][::-1] if p[2] != own or p[0][0] != host), None)
+        after = next((p for p in parts[k + 1 :] if p[2] != own or p[0][0] != host), None)
+        near = [p for p in (before, after) if p and host and p[0][0] == host]
+        near.sort(key=lambda p: -len(os.path.commonprefix([p[0][1], path])))
+        out[(*row, *html_text.main_text(own, *[p[2] for p in near]))] += 1
+    return out
+
+
+def test_extraction_matches_brute_force_however_rows_are_dealt(spark):
+    rng = random.Random(23)
+    lines = [prose(2000 + k, 3 + k % 9) for k in range(12)]
+    rows = []
+    for k in range(160):
+        page = "".join(f"<{t}>{rng.choice(lines)}</{t.split()[0]}>" for t in rng.choices(["p", "div", "nav", "li", "h2", 'div class="ad"'], k=rng.randrange(7)))
+        page = page if k % 3 else f"<header>{lines[0]}</header><article>{page}</article>"
+        rows.append((2**53 + 1 + k, f"http://{rng.choice('ab')}.x/{rng.choice('pq')}/{k // 4}", page))
+    same = "<p>same</p>" + rows[0][2]
+    rows += [(1000 + k, f"http://a.x/p/{k}/{k}", same) for k in range(30)] + [(None, "http://a.x/p/7", None), (7, None, "<p>x"), (8, "bad", "")]
+    want = brute_pages(rows)
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for per_task in (5, 40, 20_000):
+        got = html_text.extract_text(docs.repartition(per_task % 7 + 1), per_task=per_task).collect()
+        assert collections.Counter(map(tuple, got)) == want
+
+
+def test_pages_without_rows_and_with_long_ones(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string, host string")
+    assert html_text.extract_text(empty).count() == 0
+    shared = "".join(f"<div>{k % 1000} line</div>" for k in range(50_000))
+    rows = [(k, f"http://l.x/{k}", f"<div>own {k}</div>{shared}<p>tail {k}</p>", "x", "y") for k in range(2)]
+    out = html_text.extract_text(spark.createDataFrame(rows, empty.schema)).collect()
+    assert {r["text"] for r in out} == {f"own {k}\n\ntail {k}" for k in range(2)}
