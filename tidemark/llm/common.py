@@ -36,9 +36,10 @@ def word_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(inner).cast("long")
 
 
-def id_hash(col: str) -> Column:
+def id_hash(col: str | Column) -> Column:
     """60 pseudo-random bits of an id, the same in any SQL engine that has md5."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    value = F.col(col) if isinstance(col, str) else col
+    return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
 _local: dict[str, str] = {}

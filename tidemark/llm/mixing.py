@@ -11,7 +11,7 @@ Running sums never put a whole source into one task: the id hash cuts each sourc
 the buckets' sums are added up first, and the rows are summed within their bucket only.
 
 Nulls and ties: a null source is a source of its own, ordered last; a null text has no words, is
-never taken and has a null position; a null id hashes as the empty string. Rows with the same id
+never taken and has a null position; a row of a null id is placed by its text. Rows with the same id
 stand next to each other, ordered by text. An empty table gives an empty result.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import body, id_hash, word_count
+from tidemark.llm.common import body, id_hash, staged, word_count
 
 #: Weights of the sources in order, repeated.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -95,10 +95,12 @@ def curriculum_mix(
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         word_count(body(text_col)).alias("size"),
-        id_hash(id_col).alias("_tm_hash"),
+        F.when(F.col(id_col).isNull(), id_hash(body(text_col))).otherwise(id_hash(id_col)).alias("_tm_hash"),
         F.xxhash64(body(text_col)).alias("_tm_text"),
         *([F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []),
     )
+    if not keep:
+        d = staged(d)  # the texts are read once
     d = d.withColumn("_tm_src", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source"))))
     d = d.withColumn("_tm_bucket", F.shiftrightunsigned("_tm_hash", 60 - bits))
 
@@ -128,11 +130,11 @@ def curriculum_mix(
 
     d = d.withColumn("uses", F.filter(F.array(*[use(e) for e in range(max_epochs)]), lambda u: u["words"] > 0))
     taken = F.aggregate("uses", F.lit(0).cast("long"), lambda n, u: n + u["words"])
-    return d.select("id", "size", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position"), "uses", *(["row"] if keep else []))
+    return d.select("id", "size", "source_size", "target", taken.alias("taken"), F.get("uses", F.lit(0))["position"].alias("position"), "uses", *(["_tm_text", "row"] if keep else []))
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
     """The documents as the mix takes them: a row for each use, sorted by training position; columns as given."""
     mixed = curriculum_mix(docs, keep=tuple(docs.columns), whole=True, **how)
-    used = mixed.select("row", F.explode("uses").alias("_tm_use")).select("row.*", F.col("_tm_use.position").alias("_tm_position"))
-    return used.orderBy("_tm_position").drop("_tm_position")
+    used = mixed.select("row", "id", "_tm_text", F.explode("uses").alias("_tm_use")).select("row", F.col("_tm_use.position").alias("_tm_position"), F.col("id").alias("_tm_id"), "_tm_text")
+    return used.orderBy("_tm_position", "_tm_id", "_tm_text").select("row.*")
