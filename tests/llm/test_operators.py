@@ -64,7 +64,7 @@ def test_hard_rows_keep_their_number(spark, hard, none, labels):
         assert (pieces["piece"] == 0).sum() == expected
         mixing.mixed_rows(docs).count()
         simhash.drop_near_copies(docs).count()
-    assert quality.judge(hard, labels.limit(0)).where("rule > 0").count() == 0
+    assert quality.judge(hard, labels.limit(0)).where("_tm_rule > 0").count() == 0
 
 
 def test_mixing_caps_and_spends_everything(spark):
@@ -112,12 +112,14 @@ def test_statistics_and_rules(spark):
         twice = {g for g, n in collections.Counter(grams).items() if n > 1}
         covered = {j for i, g in enumerate(grams) if g in twice for j in (i, i + 1, i + 2)}
         lines = [x for x in r["text"].split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", r["text"])), len(lines) - len(set(lines)), len(covered))
+        assert tuple(r[f"_tm_{c}"] for c in quality.STATS) == want
     shout = lambda t: t.upper().replace(" ", "!! ")
     docs = [(i, shout(prose(i, 90)) if i % 5 == 0 else prose(i, 90).replace(" ", "*** ") if i % 5 == 1 else prose(i, 90)) for i in range(400)]
     known = [(i, int(i % 5 > 1), 0) for i in range(0, 400, 2)]
     judged = quality.judge(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")).toPandas()
-    assert (judged["kept"] == (judged["doc_id"] % 5 > 1)).mean() > 0.98
+    assert (judged["_tm_kept"] == (judged["doc_id"] % 5 > 1)).mean() > 0.98
+    assert (judged["_tm_base_failed"] == ((judged["_tm_n_words"] < 50) | (2 * judged["_tm_n_repeat_words"] > judged["_tm_n_words"]))).all()
 
 
 def brute_print(t):
@@ -323,6 +325,9 @@ def test_media_round_trip_and_alignment(spark):
     seqs = media.sequences(spark.createDataFrame([(1, page), (2, None), (3, "")], "k long, html string"), id_col="k", html_col="html")
     known = media.describe(media.store(spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"one"),)], "payload binary")))
     rows = {(r["id"], r["position"]): r for r in media.resolve(seqs, known).collect()}
+    shown = spark.createDataFrame([(1, "one & <b>\n\nthree"), (2, "")], "k long, t string").select("k", media.illustrated("t", F.lit(digest)).alias("html"))
+    parts = {(r["id"], r["position"]): (r["text"], r["digest"], r["caption"]) for r in media.resolve(media.sequences(shown, id_col="k", html_col="html"), known).collect()}
+    assert parts == {(1, 0): ("one & <b>", None, None), (1, 1): (None, digest, "one & <b>"), (1, 2): ("three", None, None), (2, 0): (None, digest, None)}
     assert [rows[1, k]["kind"] for k in range(4)] == ["text", "media", "text", "media"]
     assert rows[1, 0]["text"] == "Before & now" and rows[1, 1]["caption"] == "Cap one" and rows[1, 1]["n_bytes"] == 3 and rows[1, 3]["n_bytes"] is None and rows[1, 3]["caption"] == "other"
     assert known.count() == 1
@@ -448,3 +453,27 @@ def test_pages_without_rows_and_with_long_ones(spark):
     rows = [(k, f"http://l.x/{k}", f"<div>own {k}</div>{shared}<p>tail {k}</p>", "x", "y") for k in range(2)]
     out = html_text.extract_text(spark.createDataFrame(rows, empty.schema)).collect()
     assert {r["text"] for r in out} == {f"own {k}\n\ntail {k}" for k in range(2)}
+
+
+def test_clashing_names_and_rows_with_one_id(spark, labels):
+    rows = [(1, prose(1, 60), "n", "k", "r", 5), (1, prose(2, 60), "n", "k", "r", 6), (2, prose(1, 60), None, None, None, None), (None, prose(3, 60), None, None, None, None), (None, prose(3, 60), None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string, kept string, rule string, words long")
+    assert quality.kept_rows(docs, labels).count() == 5 and quality.kept_rows(docs, labels).columns == docs.columns
+    for _ in range(2):
+        assert {(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs).collect()} == {(1, prose(1, 60)), (1, prose(2, 60)), (None, prose(3, 60))}
+    assert simhash.drop_near_copies(docs).count() == 3
+
+
+def test_ids_beside_nulls_stay_exact(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "<p>a", "u"), (None, "<p>b", "u")], "doc_id long, text string, url string")
+    assert {r["id"] for r in packing.pack(docs, BPE).collect()} == {2**53 + 1, None}
+    assert {r["id"] for r in media.sequences(docs, id_col="doc_id", html_col="text").collect()} == {2**53 + 1, None}
+
+
+def test_announced_secrets_and_many_spans(spark):
+    rng = random.Random(6)
+    kinds = [lambda: f' password: "{rng.choice("abcdefgh")}x{rng.randrange(1000, 9999)}!q" ', lambda: f" api_key={rng.randbytes(9).hex()}/+{rng.randrange(99)}== ", lambda: f' note: "{prose(rng.randrange(999), 2)}" ', lambda: f" {prose(rng.randrange(999), 3)} "]
+    texts = [prose(i, 20) + kinds[i % 4]() + prose(i, 5) for i in range(200)] + [" ".join(f"a{k}@b{k}.example.com" for k in range(20_000)), 'token = "a.b@c.example.com"']
+    out = {r["id"]: r["s"] for r in pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("id", pii.text_of(F.col("spans")).alias("s")).collect()}
+    assert all(("secret" in out[i]) == (i % 4 < 2) for i in range(200))
+    assert out[200].count("email") == 20_000 and out[201] == "email:9:26"

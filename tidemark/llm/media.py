@@ -22,6 +22,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,17 +164,19 @@ def sequences(pages: DataFrame, *, id_col: str, html_col: str) -> DataFrame:
     """id and parts (PARTS) of each page."""
     short_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
+    part = pa.struct([("position", pa.int32()), *[(c, pa.string()) for c in ("kind", "text", "digest", "caption")]])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "parts": [sequence(h) for h in b["html"]]})
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([sequence(h) for h in b.column("html").to_pylist()], pa.list_(part))], names=["id", "parts"])
 
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInPandas(run, f"id {kind}, parts {PARTS}")
+    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, f"id {kind}, parts {PARTS}")
 
 
 def resolve(seqs: DataFrame, media: DataFrame) -> DataFrame:
-    """A row for each part, with the columns of media (digest and others, each digest once) beside it; parts keep position and caption."""
-    parts = seqs.select("id", F.explode_outer("parts").alias("_tm_part")).select("id", "_tm_part.*")
+    """A row for each part, with the columns of media (digest and others, each digest once) beside it; parts keep position and caption, and other columns of seqs stay."""
+    others = [c for c in seqs.columns if c != "parts"]
+    parts = seqs.select(*others, F.explode_outer("parts").alias("_tm_part")).select(*others, "_tm_part.*")
     return parts.join(media, "digest", "left")
 
 
@@ -182,6 +185,15 @@ def payload(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit("")).cast("binary")
 
 
+def illustrated(text_col: str, digest: Column) -> Column:
+    """A page: the text's first line, a figure that refers to the digest with that line as caption, the other lines."""
+    safe = F.replace(F.replace(F.col(text_col), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lines = F.split(safe, "\n")
+    first, rest = F.get(lines, F.lit(0)), F.slice(lines, F.lit(2), F.size(lines))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), first, F.lit("</figcaption></figure><p>"))
+    return F.concat(F.lit("<article><p>"), first, F.lit("</p>"), figure, F.array_join(rest, "</p><p>"), F.lit("</p></article>"))
+
+
 def store(payloads: DataFrame) -> DataFrame:
     """payloads: binary column ``payload``. digest (SHA-256 of the payload), media (stored bytes) and n_bytes, each payload once.
 

@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Base spans are matches of fixed patterns that pass their check (ranges, Luhn, digit counts). For
-other secrets, long tokens are candidates on which labelers vote: regular expressions, a gazetteer
+other secrets, long tokens and what an announcing word with = or : names are candidates on which labelers vote: regular expressions, a gazetteer
 of words that announce secrets, and the context around the token. Expectation-maximisation over the
 counts of vote patterns (at most 3^6 rows, whatever the corpus) estimates how reliable each labeler
 is and how likely each pattern means a secret. With these soft labels a span classifier, naive Bayes
@@ -34,12 +34,15 @@ PATTERNS = {
 }
 #: What a text must have for a pattern to match at all.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-CANDIDATE = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{16,}+"
 ADDED = "secret"
 #: Gazetteer: words that announce a secret, in the corpus's languages.
 ANNOUNCING = "token secret password passwd pwd apikey api_key key auth bearer credential clave contraseña jeton passe schlüssel kennwort passwort".split()
-CONTEXT = 24
+#: Long tokens, and whatever stands after an announcing word with = or :, from that sign on.
+CANDIDATE = rf"""(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{{16,}}+|[=:](?<=(?i:{'|'.join(ANNOUNCING)})["']?\x20?[=:])\x20{{0,2}}["']?[^\s"'<>]{{6,}}+"""
+SIGN = """^[=:]\\x20{0,2}["']?"""
+CONTEXT, PART = 24, 256
 SPAN = "array<struct<s:int,k:int,e:int>>"
+CANDIDATES = "struct<s:int,e:int,token:string,before:string,after:string>"
 
 
 def luhn(digits: Column) -> Column:
@@ -68,12 +71,29 @@ def matches(text: Column, pattern: str, hint: str | None = None) -> tuple[Column
     return F.when(there, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), F.when(there, F.split(text, pattern, -1)).otherwise(none)
 
 
+def running(values: Column, step, zero: int) -> Column:
+    """For each element of an array of ints, step (a function of two) over all before it, from zero on. Works in parts of PART, as appending copies an array."""
+    none = F.array().cast("array<int>")
+
+    def fold(part: Column, at: Column) -> Column:
+        first = F.struct(at.alias("at"), none.alias("out"))
+        return F.aggregate(part, first, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.array_append(a["out"], a["at"]).alias("out")))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / PART).cast("int")), lambda k: F.slice(values, k * PART + 1, F.lit(PART)))
+    first = F.struct(F.lit(zero).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+
+    def one(a: Column, part: Column) -> Column:
+        # An array of one, so that the fold is worked out once.
+        done = F.transform(F.array(fold(part, a["at"])), lambda f: F.struct(f["at"].alias("at"), F.array_append(a["out"], f["out"]).alias("out")))
+        return F.element_at(done, 1)
+
+    return F.when(F.size(values) > 0, F.flatten(F.aggregate(parts, first, one)["out"])).otherwise(none)
+
+
 def starts(hits: str, gaps: str) -> Column:
     """Where each match starts: the lengths of what stands before it, added up."""
-    step = lambda a, i: F.struct((a["at"] + F.length(F.get(F.col(gaps), i)) + F.length(F.get(F.col(hits), i))).alias("at"), F.array_append(a["out"], a["at"] + F.length(F.get(F.col(gaps), i))).alias("out"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    numbers = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(numbers, first, step, lambda a: a["out"])
+    ahead = running(F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.length(h) + F.length(g)), lambda a, x: a + x, 0)
+    return F.zip_with(ahead, F.slice(gaps, F.lit(1), F.size(hits)), lambda a, g: a + F.length(g))
 
 
 def checked(k: int, kind: str):
@@ -98,12 +118,14 @@ def found(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     base = []
     for k, kind in enumerate(PATTERNS):
         base.append(F.array_compact(F.transform(f"h_{kind}", checked(k, kind))).cast(SPAN))
-    candidates = F.transform(
-        "h_c",
-        lambda h, i: F.struct(
-            F.get("s_c", i).alias("s"), (F.get("s_c", i) + F.length(h)).alias("e"), h.alias("token"), F.right(F.get("g_c", i), F.lit(CONTEXT)).alias("before"), F.left(F.get("g_c", i + 1), F.lit(2)).alias("after")
-        ),
-    )
+    def candidate(h: Column, i: Column) -> Column:
+        sign = F.regexp_extract(h, SIGN, 0)
+        token = F.regexp_replace(F.substr(h, F.length(sign) + 1), "[.,;:!?)]+$", "")
+        start = F.get("s_c", i) + F.length(sign)
+        before = F.right(F.concat(F.get("g_c", i), sign), F.lit(CONTEXT))
+        return F.struct(start.alias("s"), (start + F.length(token)).alias("e"), token.alias("token"), before.alias("before"), F.left(F.get("g_c", i + 1), F.lit(2)).alias("after"))
+
+    candidates = F.filter(F.transform("h_c", candidate), lambda c: F.length(c["token"]) >= 6)
     # A generator of one row, so that nothing above repeats what makes these.
     row = F.struct(F.sort_array(F.concat(*base)).alias("base"), candidates.alias("candidates"))
     return d.select("id", F.inline(F.array(row)).alias("base", "candidates"))
@@ -194,13 +216,22 @@ def text_of(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def apart(base: Column, candidates: Column) -> Column:
+    """The candidates that overlap no base span, by one sorted merge: of the base spans that start before a candidate ends, none ends after it starts."""
+    ends = F.transform(base, lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("kind"), b["e"].alias("e"), F.lit(None).cast(CANDIDATES).alias("c")))
+    asking = F.transform(candidates, lambda c: F.struct(c["e"].alias("at"), F.lit(0).alias("kind"), F.lit(-1).alias("e"), c.alias("c")))
+    line = F.sort_array(F.concat(ends, asking))
+    furthest = running(F.transform(line, lambda x: x["e"]), F.greatest, -1)
+    free = F.filter(F.arrays_zip(line.alias("x"), furthest.alias("most")), lambda z: (z["x"]["kind"] == 0) & (z["most"] <= z["x"]["c"]["s"]))
+    return F.when((F.size(base) == 0) | (F.size(candidates) == 0), candidates).otherwise(F.transform(free, lambda z: z["x"]["c"]))
+
+
 def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, base and spans (SPAN: start, number of the kind, end; sorted) of every row. Kind 4 are the added secrets."""
     spans = staged(found(docs, id_col=id_col, text_col=text_col))
     odds = classifier(spans.select(F.explode("candidates").alias("c")))
     if odds is None:
         return spans.select("id", "base", F.col("base").alias("spans"))
-    apart = lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    secrets = F.filter("candidates", lambda c: apart(c) & is_secret(c, odds))
+    secrets = F.filter(apart(F.col("base"), F.col("candidates")), lambda c: is_secret(c, odds))
     added = F.transform(secrets, lambda c: F.struct(c["s"].alias("s"), F.lit(len(PATTERNS)).alias("k"), c["e"].alias("e"))).cast(SPAN)
     return spans.select("id", "base", F.sort_array(F.concat("base", added)).alias("spans"))

@@ -28,14 +28,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SPACE, body, id_hash, staged, word_array
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-EXTRA = ("_tm_bangs", "_tm_upper", "_tm_lines")
+EXTRA = ("bangs", "upper", "lines")
 #: Ratios that rules may test.
 FEATURES = ("words", "symbols", "repeats", "dup_lines", "word_length", "bangs", "upper")
 MAX_LABELLED, BINS, MAX_RULES, MAX_TESTS, PURITY = 20_000, 16, 8, 3, 0.9
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the columns of STATS and EXTRA.
+    """docs with the columns of STATS and EXTRA, each with _tm_ before its name.
 
     Repeated 3-word windows are found by sorting, per text, the window hashes packed with their
     position into one long; windows whose packed part has a twin are then compared by the whole hash.
@@ -70,20 +70,20 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     # A generator of one row: filters on the statistics stay above it, and don't repeat what makes them.
     row = F.struct(*[v.cast("long").alias(n) for n, v in zip(STATS + EXTRA, values, strict=True)])
-    return d.select(*docs.columns, F.inline(F.array(row)).alias(*STATS, *EXTRA))
+    return d.select(*docs.columns, F.inline(F.array(row)).alias(*[f"_tm_{n}" for n in STATS + EXTRA]))
 
 
 def features() -> list[Column]:
     """The values of FEATURES from the columns of STATS and EXTRA."""
-    per = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
+    per = lambda a, b: F.coalesce(F.try_divide(F.col(f"_tm_{a}").cast("double"), F.col(f"_tm_{b}")), F.lit(0.0))
     return [
-        F.col("n_words").cast("double"), per("n_symbols", "word_chars"), per("n_repeat_words", "n_words"), per("n_dup_lines", "_tm_lines"),
-        per("word_chars", "n_words"), per("_tm_bangs", "n_words"), per("_tm_upper", "word_chars"),
+        F.col("_tm_n_words").cast("double"), per("n_symbols", "word_chars"), per("n_repeat_words", "n_words"), per("n_dup_lines", "lines"),
+        per("word_chars", "n_words"), per("bangs", "n_words"), per("upper", "word_chars"),
     ]
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("_tm_n_words") < 50) | (100 * F.col("_tm_n_repeat_words") > 50 * F.col("_tm_n_words"))
 
 
 @dataclass(frozen=True)
@@ -189,7 +189,12 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """docs with STATS, base_failed, rule (0: none rejects) and kept."""
+    """docs with STATS, base_failed, rule (0: none rejects) and kept, each with _tm_ before its name."""
     rules = learn_decision_list(staged(labelled_rows(docs, labels, max_labelled=max_labelled, id_col=id_col, text_col=text_col)))
-    scored = statistics(docs, text_col).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)).drop(*EXTRA)
+    scored = statistics(docs, text_col).withColumn("_tm_base_failed", base_failed()).withColumn("_tm_rule", verdict(rules))
+    return scored.withColumn("_tm_kept", ~F.col("_tm_base_failed") & (F.col("_tm_rule") == 0)).drop(*[f"_tm_{n}" for n in EXTRA])
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """The rows of docs that the base rule and the learned decision list let through, as they are."""
+    return judge(docs, labels, **how).where("_tm_kept").select(*docs.columns)

@@ -30,7 +30,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "rule")
+    return judged.select("doc_id", *[F.col(f"_tm_{c}").alias(c) for c in (*quality.STATS, "base_failed", "kept", "rule")])
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +55,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is a page that shows its own text as a medium; its row comes from resolving that reference."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", media.payload().alias("payload"))
-    page = F.concat(
-        F.lit('<article><p>Document</p><figure><img src="sha256:'), F.sha2("payload", 256), F.lit('"><figcaption>'), F.coalesce("lang", F.lit("")), F.lit("</figcaption></figure></article>")
-    )
-    shown = media.sequences(docs.select("doc_id", page.alias("html")), id_col="doc_id", html_col="html")
-    parts = media.resolve(shown, media.describe(media.store(docs))).where("kind = 'media'")
-    return parts.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+    """Every document is a page of its lines with its own whole text as a medium after the first, which is the caption too; its row comes from resolving that reference."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), media.payload().alias("payload"))
+    shown = media.sequences(docs.select("doc_id", media.illustrated("text", F.sha2("payload", 256)).alias("html")), id_col="doc_id", html_col="html")
+    parts = media.resolve(shown.withColumn("n_parts", F.size("parts")), media.describe(media.store(docs))).where("kind = 'media'")
+    return parts.select(F.col("id").alias("doc_id"), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_parts", "caption")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

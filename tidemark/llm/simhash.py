@@ -15,7 +15,8 @@ The pairs walked per fingerprint are bounded by the number of bit patterns withi
 
 Nulls and ties: a null text is empty; texts without words have fingerprint zero and are linked like
 any other. component_id is the smallest id of the component; ids that are null don't count, and a
-component of null ids only has a null component_id. Rows with the same id are documents of their own.
+component of null ids only has a null component_id. Rows with the same id are documents of their own;
+where rows have one id and one text, drop_near_copies may keep any of them.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tidemark.llm.common import body, short_batches, spread, staged
+from tidemark.llm.common import body, join_counted, short_batches, spread, staged
 from tidemark.llm.components import connected_components, local_roots
 
 SEED, BUDGET, BLOCKS = 42, 2, ((0, 22), (22, 21), (43, 21))
@@ -138,21 +139,29 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return turned.repartition(n, "block", "lead").select("block", "key").mapInPandas(walk, "a long, b long")
 
 
+def rooted(prints: DataFrame, **least) -> DataFrame:
+    """fp, root, n (rows of fp) and the given aggregates of each fingerprint."""
+    distinct = staged(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), *[c.alias(name) for name, c in least.items()]))
+    roots = connected_components(near_links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp (long) and component_id of every row."""
     short_batches(docs.sparkSession)
     prints = staged(docs.select(F.col(id_col).alias("id"), fingerprints(body(text_col)).alias("fp")))
-    distinct = staged(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = connected_components(near_links(distinct.select("fp"))).select(F.col("node").alias("fp"), "root")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    components = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(components, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("id", "fp", "component_id")
+    roots = staged(rooted(prints, first=F.min("id")))
+    components = roots.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(components, "root").select("fp", "n", "component_id")
+    return join_counted(prints, named, ["fp"], prints.count()).select("id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: the one whose id is the component's. Rows that repeat that id go too; without ids, one row for each text stays."""
-    marked = simhash_components(docs, id_col=id_col, text_col=text_col)
-    stay = marked.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_tm_id")).distinct()
-    unique = docs.where(F.col(id_col).isNotNull()).join(stay, F.col(id_col) == F.col("_tm_id"), "left_semi").dropDuplicates([id_col])
-    return unique.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
+    """docs with one row of each component: that of its smallest id (null last), and of rows with that id that of the least text hash."""
+    short_batches(docs.sparkSession)
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(body(text_col)).alias("hash"))
+    prints = staged(docs.select(key.alias("key"), fingerprints(body(text_col)).alias("fp")))
+    stay = rooted(prints, first=F.min("key")).groupBy("root").agg(F.min("first").alias("first"))
+    stay = stay.select(F.col("first.id").alias("_tm_id"), F.col("first.hash").alias("_tm_hash"))
+    met = docs.withColumn("_tm_own", F.xxhash64(body(text_col))).join(stay, (F.col("_tm_own") == F.col("_tm_hash")) & F.col(id_col).eqNullSafe(F.col("_tm_id")), "left_semi")
+    return met.dropDuplicates([id_col, "_tm_own"]).select(*docs.columns)
