@@ -19,27 +19,27 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule and the learned decision list let through."""
-    return quality.judge(docs, read(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that the base rule and the learned decision list let through. A null text is empty and goes; equal texts share their fate; without labels only the base rule rejects."""
+    return quality.kept_rows(docs, read(spark, sf_dir, "labels"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without boilerplate lines."""
+    """All documents, without boilerplate lines. A null text stays null, one of which nothing is left is empty; rows of equal texts get equal texts."""
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component: that of the smallest id, null last; of rows with that id that of the least text hash. All texts without words are one component."""
     return simhash.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of a document, in training order."""
+    """A row for each use of a document, in training order; ties stand by id and text. Documents without words and those beyond their source's target are not used."""
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a packed document."""
+    """A row for each piece of a packed document; a document that is used several times is packed as often, and no rows give no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), special=True).withColumnRenamed("id", "doc_id")
 
 
