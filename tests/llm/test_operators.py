@@ -96,10 +96,17 @@ def test_shards_take_turns(spark):
 def test_boilerplate_goes_and_copies_stay(spark):
     foot = "All rights of this page are reserved by us"
     copy = "\n".join(prose(900 + k, 12) for k in range(6))
+    notice = "\n".join(prose(950 + k, 8) for k in range(3))
     rows = [(i, f"{prose(i, 12)}\n{foot}\n{prose(i + 500, 12)}", None, f"s{i % 9}", None, None, None) for i in range(40)] + [(100 + i, copy, None, f"s{i % 9}", None, None, None) for i in range(60)]
+    # A notice of three lines in different texts, of which one has many copies; near copies that differ in a line each.
+    rows += [(200 + i, f"{prose(i + 700, 40)}\n{notice}", None, f"s{i % 7}", None, None, None) for i in range(14)] + [(300 + i, f"{prose(700, 40)}\n{notice}", None, "s1", None, None, None) for i in range(90)]
+    rows += [(400 + i, "\n".join([prose(800 + i, 12), *copy.split("\n")[1:], prose(1, 12)]), None, f"s{i % 9}", None, None, None) for i in range(30)]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    text = out.set_index("doc_id")["text"]
     assert not out["text"].str.contains(foot).any()
-    assert (out[out["doc_id"] >= 100]["text"] == copy).all() and set(out[out["doc_id"] < 100]["_tm_n_removed"]) == {1}
+    assert (text[[i for i in text.index if 100 <= i < 200]] == copy).all() and set(out[out["doc_id"] < 100]["_tm_n_removed"]) == {1}
+    assert all(text[200 + i] == prose(i + 700, 40) for i in range(14)) and all(text[300 + i] == prose(700, 40) for i in range(90))
+    assert all(text[k] == t for k, t, *_ in rows if k >= 400)
 
 
 def test_statistics_and_rules(spark):

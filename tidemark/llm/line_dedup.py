@@ -1,14 +1,19 @@
 """Line dedup by distinct-site spread.
 
-A line is boilerplate if it stands on at least ``min_sites`` sites and amid ever new neighbours.
-Every line hash gets two HyperLogLog sketches, of its sites and of its contexts (the lines before
-and after it), which partial aggregation merges before anything is shuffled. Where an estimate
-lies near its threshold, the distinct sites and contexts of that line are counted exactly. Lines
-of copied documents keep their neighbours, so copies don't make a line boilerplate.
+A line is boilerplate if it stands on at least ``min_sites`` sites in texts that are otherwise their own. Copies
+count once: first equal texts are brought down to one, on the first of their sites. Then lines are counted over the
+distinct texts, and only those in ``min_sites`` texts or more go further; they are few. A text is its own if more than
+``own_share`` of its characters stand in other lines; so a group of near copies, which share most of their lines,
+doesn't make these boilerplate, while a notice of several lines in different texts goes as a whole. The sites of a
+line's own texts are added up in one HyperLogLog sketch for each line hash, which partial aggregation merges before
+anything is shuffled; where an estimate lies near the threshold the line's distinct sites are counted exactly.
 
 Boilerplate lines go from every document; other lines and their order stay. Lines are compared
 trimmed and in lower case, by 128 bits of hash. Lines of fewer than ``min_words`` words always stay.
 
+Lines and texts with more than a thousandth of all rows are joined by broadcast, as there are at most 1000 of each;
+so no copy group and no common line meets in one task.
+
 Nulls and ties: a null text has no lines and stays null; a null site is one site of its own; rows
 with equal texts, whatever their ids, get equal results; a text of which nothing is left is empty.
 """
@@ -18,70 +23,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE
+from tidemark.llm.common import FREQUENT, SPACE, join_counted, staged
 
-MIN_SITES, MIN_WORDS, NEW_CONTEXTS, ERROR, SALTS = 5, 4, 0.25, 0.1, 32
+MIN_SITES, MIN_WORDS, OWN_SHARE, ERROR = 5, 4, 1 / 3, 0.1
+TEXT, LINE = ["_tm_t1", "_tm_t2"], ["_tm_a", "_tm_b"]
 
 
 def normal(line: Column) -> Column:
     return F.lower(F.trim(line, F.lit(" \t\n\x0b\f\r")))
 
 
-def occurrences(docs: DataFrame, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """A row for each line: text key, position, line hash, context hash, site."""
-    d = docs.where(F.col(text_col).isNotNull()).select(
-        F.xxhash64(F.lit(1), text_col).alias("_tm_t1"),
-        F.xxhash64(F.lit(2), text_col).alias("_tm_t2"),
-        F.coalesce(F.concat(F.lit("+"), F.col(site_col).cast("string")), F.lit("-")).alias("_tm_site"),
-        F.transform(F.split(text_col, "\n"), normal).alias("_tm_lines"),
-    )
-    long_enough = rf"^(?:[^\x20\x09-\x0D]+{SPACE}+){{{min_words - 1}}}[^\x20\x09-\x0D]" if min_words > 1 else "."
+def text_key(text_col: str) -> list[Column]:
+    """Two hashes; the second is never zero."""
+    return [F.xxhash64(F.lit(1), text_col).alias(TEXT[0]), F.xxhash64(F.lit(2), text_col).bitwiseOR(F.lit(1).cast("long")).alias(TEXT[1])]
 
-    def one(line: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(1), line).alias("a"), F.xxhash64(F.lit(2), line).alias("b"), line.rlike(long_enough).alias("ok"))
-
-    d = d.withColumn("_tm_lines", F.transform("_tm_lines", one))
-    none = F.array(F.lit(0).cast("long"))
-    hashes = F.transform("_tm_lines", lambda x: x["a"])
-    d = d.withColumn("_tm_h", hashes)
-    d = d.withColumn("_tm_prev", F.concat(none, F.slice("_tm_h", 1, F.size("_tm_h") - 1))).withColumn("_tm_next", F.concat(F.slice("_tm_h", F.lit(2), F.size("_tm_h")), none))
-    d = d.select("_tm_t1", "_tm_t2", "_tm_site", F.posexplode(F.arrays_zip("_tm_lines", "_tm_prev", "_tm_next")).alias("_tm_pos", "x"))
-    return d.where("x._tm_lines.ok").select(
-        "_tm_t1", "_tm_t2", "_tm_pos", "_tm_site", F.col("x._tm_lines.a").alias("_tm_a"), F.col("x._tm_lines.b").alias("_tm_b"), F.xxhash64("x._tm_prev", "x._tm_next").alias("_tm_context")
-    )
-
-
-def among(lines: DataFrame, few: DataFrame) -> DataFrame:
-    """The rows of lines whose hash is in few. A very common line is dealt out to SALTS tasks, its copies too."""
-    salted = few.withColumn("_tm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return lines.withColumn("_tm_salt", F.pmod(F.xxhash64("_tm_t2", F.spark_partition_id()), F.lit(SALTS)).cast("int")).join(salted, ["_tm_a", "_tm_b", "_tm_salt"], "left_semi").drop("_tm_salt")
-
-
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, new_contexts: float = NEW_CONTEXTS, error: float = ERROR) -> DataFrame:
-    """Hashes (_tm_a, _tm_b) of the lines on min_sites sites or more with at least new_contexts new contexts for each use."""
-    line = ["_tm_a", "_tm_b"]
-    spread = lines.groupBy(*line).agg(
-        F.count(F.lit(1)).alias("n"), F.approx_count_distinct("_tm_site", error).alias("sites"), F.approx_count_distinct("_tm_context", error).alias("contexts")
-    )
-    least = F.greatest(F.lit(float(min_sites)), F.col("n") * new_contexts)
-    sure = (F.col("sites") > min_sites * (1 + 3 * error)) & (F.col("contexts") > least * (1 + 3 * error))
-    never = (F.col("n") < min_sites) | (F.col("sites") < min_sites * (1 - 3 * error)) | (F.col("contexts") < least * (1 - 3 * error))
-    spread = spread.where(~never).select(*line, "n", sure.alias("sure"))
-    near = among(lines, spread.where("NOT sure").select(*line))
-    pairs = lambda c: near.groupBy(*line, c).agg(F.count(F.lit(1)).alias("k")).groupBy(*line)
-    sites = pairs("_tm_site").agg(F.count(F.lit(1)).alias("sites"))
-    contexts = pairs("_tm_context").agg(F.count(F.lit(1)).alias("contexts"), F.sum("k").alias("n"))
-    exact = sites.join(contexts, line).where((F.col("sites") >= min_sites) & (F.col("contexts") >= min_sites) & (F.col("contexts") >= F.col("n") * new_contexts))
-    return spread.where("sure").select(*line).unionByName(exact.select(*line))
-
-
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, new_contexts: float = NEW_CONTEXTS) -> DataFrame:
+
+def distinct_texts(docs: DataFrame, text_col: str, site_col: str, min_words: int) -> DataFrame:
+    """TEXT, _tm_copies, _tm_site and _tm_lines (position, line hashes, characters of each line of min_words or more) of each text but null."""
+    long_enough = rf"^(?:[^\x20\x09-\x0D]+{SPACE}+){{{min_words - 1}}}[^\x20\x09-\x0D]" if min_words > 1 else "."
+    split = F.transform(F.split(text_col, "\n"), normal)
+    lines = F.transform(split, lambda x, i: F.when(x.rlike(long_enough), F.struct(i.alias("_tm_pos"), F.xxhash64(F.lit(1), x).alias(LINE[0]), F.xxhash64(F.lit(2), x).alias(LINE[1]), F.length(x).alias("_tm_chars"))))
+    d = docs.where(F.col(text_col).isNotNull()).select(*text_key(text_col), F.coalesce(F.concat(F.lit("+"), F.col(site_col).cast("string")), F.lit("-")).alias("_tm_site"), F.array_compact(lines).alias("_tm_lines"))
+    return d.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("_tm_copies"), F.min("_tm_site").alias("_tm_site"), F.first("_tm_lines").alias("_tm_lines"))
+
+
+def boilerplate(met: DataFrame, own: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
+    """LINE and n (texts) of the lines whose own texts are on min_sites sites or more. met: a row for each frequent line of each text; own: TEXT."""
+    counts = met.select(*TEXT, "_tm_site", *LINE, "n").join(own, TEXT, "left_semi")
+    spread = counts.groupBy(*LINE).agg(F.max("n").alias("n"), F.approx_count_distinct("_tm_site", error).alias("sites"))
+    sure, never = (F.col("sites") > min_sites * (1 + 3 * error)), (F.col("sites") < min_sites * (1 - 3 * error))
+    spread = staged(spread.where(~never).select(*LINE, "n", sure.alias("sure")))
+    near = join_counted(counts.drop("n"), spread.where("NOT sure"), LINE, met.count())
+    exact = near.groupBy(*LINE, "_tm_site").agg(F.max("n").alias("n")).groupBy(*LINE).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
+    return spread.where("sure").select(*LINE, "n").unionByName(exact.select(*LINE, "n"))
+
+
+def lines_to_remove(texts: DataFrame, min_sites: int, own_share: float) -> DataFrame:
+    """TEXT and _tm_gone (line numbers) of each text with boilerplate."""
+    rows = texts.select(*TEXT, "_tm_site", F.inline("_tm_lines"))
+    every = F.array_distinct(F.transform("_tm_lines", lambda x: F.struct(*[x[c] for c in LINE])))
+    counted = texts.select(F.inline(every)).groupBy(*LINE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
+    total = texts.agg(F.coalesce(F.sum(F.size("_tm_lines")), F.lit(0))).first()[0]
+    met = staged(join_counted(rows, staged(counted), LINE, total))
+    shared = met.groupBy(*TEXT).agg(F.sum("_tm_chars").alias("_tm_shared"))
+    chars = F.aggregate("_tm_lines", F.lit(0).cast("long"), lambda n, x: n + x["_tm_chars"])
+    own = texts.select(*TEXT, chars.alias("_tm_all")).join(shared, TEXT).where(F.col("_tm_all") - F.col("_tm_shared") > own_share * F.col("_tm_all")).select(*TEXT)
+    gone = join_counted(met.select(*TEXT, "_tm_pos", *LINE), staged(boilerplate(met, own, min_sites)), LINE, met.count())
+    return gone.groupBy(*TEXT).agg(F.collect_list("_tm_pos").alias("_tm_gone"))
+
+
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, own_share: float = OWN_SHARE) -> DataFrame:
     """docs with boilerplate lines cut from the text, and _tm_n_lines, _tm_n_removed."""
-    lines = occurrences(docs, text_col, site_col, min_words)
-    gone = among(lines.select("_tm_t1", "_tm_t2", "_tm_pos", "_tm_a", "_tm_b"), boilerplate(lines, min_sites, new_contexts))
-    gone = gone.groupBy("_tm_t1", "_tm_t2", "_tm_pos").agg(F.count(F.lit(1)).alias("n")).groupBy("_tm_t1", "_tm_t2").agg(F.collect_list("_tm_pos").alias("_tm_gone"))
-    keyed = docs.withColumn("_tm_t1", F.xxhash64(F.lit(1), text_col)).withColumn("_tm_t2", F.xxhash64(F.lit(2), text_col))
-    out = keyed.join(gone, ["_tm_t1", "_tm_t2"], "left").withColumn("_tm_split", F.split(text_col, "\n"))
+    texts = staged(distinct_texts(docs, text_col, site_col, min_words))
+    gone = staged(lines_to_remove(texts, min_sites, own_share))
+    rows = texts.agg(F.coalesce(F.sum("_tm_copies"), F.lit(0))).first()[0]
+    hot = texts.where(F.col("_tm_copies") > FREQUENT * rows).select(*TEXT)
+    of_hot = hot.join(gone, TEXT, "left").select(*TEXT, F.coalesce("_tm_gone", F.array().cast("array<int>")).alias("_tm_hot"))
+    keyed = docs.select("*", *text_key(text_col)).join(F.broadcast(of_hot), TEXT, "left")  # at most 1 / FREQUENT rows
+    # What is settled or null gets a key of its own, so that it meets no other row; no text has zero as its second hash.
+    settled = F.col("_tm_hot").isNotNull() | F.col(text_col).isNull()
+    keyed = keyed.withColumn(TEXT[0], F.when(settled, F.monotonically_increasing_id()).otherwise(F.col(TEXT[0]))).withColumn(TEXT[1], F.when(settled, F.lit(0).cast("long")).otherwise(F.col(TEXT[1])))
+    out = keyed.join(gone, TEXT, "left").withColumn("_tm_gone", F.coalesce(F.when(F.size("_tm_hot") > 0, F.col("_tm_hot")), F.col("_tm_gone")))
+    out = out.withColumn("_tm_split", F.split(text_col, "\n"))
     #: The numbers of the lines that stay; array_except is linear, membership tests in long lists are not.
     out = out.withColumn("_tm_stay", F.sort_array(F.array_except(F.sequence(F.lit(0), F.size("_tm_split") - 1), F.col("_tm_gone"))))
     cut = F.array_join(F.transform("_tm_stay", lambda i: F.get(F.col("_tm_split"), i)), "\n")

@@ -79,7 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
+def sharding_sql() -> str:
+    """The lookup table is a fixed string of two hex digits for each slot; the rest is a hash."""
+    table = "".join(f"{k:02x}" for k in sharding.fill(sharding.SHARDS))
+    return f"""
+WITH s AS (SELECT doc_id, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {sharding.SLOTS} AS slot FROM documents), t AS (SELECT '{table}' AS codes)
+SELECT doc_id, slot, printf('shard-%04d', ('0x' || substr(codes, 2 * slot + 1, 2))::INT) AS shard FROM s, t"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_sharding": sharding_sql(),
     "op1_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source),
@@ -91,11 +100,15 @@ u AS (SELECT *, [greatest(0, least(size, stop - start)), greatest(0, least(size,
 SELECT doc_id, size, source_size, target, list_sum(used)::BIGINT AS taken,
   CASE WHEN list_sum(used) > 0 THEN round(2 * (start / target) / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (start / target), 0))), 6) END AS position, len(list_filter(used, lambda x: x > 0))::BIGINT AS n_uses FROM u""",
     "op3_line_dedup": r"""
-WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+WITH t AS (SELECT text, min(coalesce('+' || source, '-')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
+l AS (SELECT text, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
 n AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS norm FROM l),
-c AS (SELECT *, lag(norm) OVER w AS before, lead(norm) OVER w AS after, regexp_matches(norm, '^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]') AS ok FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT norm FROM c WHERE ok GROUP BY norm HAVING count(DISTINCT coalesce('+' || source, '-')) >= 5 AND count(DISTINCT (coalesce('+' || before, '-'), coalesce('+' || after, '-'))) >= greatest(5, 0.25 * count(*))),
-f AS (SELECT c.*, c.ok AND b.norm IS NOT NULL AS gone FROM c LEFT JOIN b ON c.norm = b.norm)
+c AS (SELECT *, regexp_matches(norm, '^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]') AS ok FROM n),
+m AS (SELECT norm FROM c WHERE ok GROUP BY norm HAVING count(DISTINCT text) >= 5),
+s AS (SELECT c.text, site, c.norm, m.norm IS NOT NULL AS frequent FROM c LEFT JOIN m ON c.norm = m.norm WHERE ok),
+o AS (SELECT text FROM s GROUP BY text HAVING sum(CASE WHEN frequent THEN 0 ELSE length(norm) END) > 1.0::DOUBLE / 3 * sum(length(norm))),
+b AS (SELECT norm FROM s JOIN o ON s.text = o.text WHERE frequent GROUP BY norm HAVING count(DISTINCT site) >= 5),
+f AS (SELECT c.*, ok AND b.norm IS NOT NULL AS gone FROM c LEFT JOIN b ON c.norm = b.norm)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text FROM documents d
-LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY doc_id) k ON d.doc_id = k.doc_id""",
+LEFT JOIN (SELECT text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY text) k ON d.text = k.text""",
 }
