@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
-from tidemark.operators import decisions, replay, tracking
+from tidemark.operators import decisions, replay, tracking, zones
 
 
 def brute(n, m, cost):
@@ -51,9 +51,48 @@ def test_replay_coasts_and_reacquires(spark):
 
 
 def test_beliefs_follow_retraction(spark):
-    holds = lambda *r: {x["node"] for x in decisions.believed(*decisions.belief_graph(spark, r)).where("believed").collect()}
-    assert {"c_spoofed", "c_alert"} <= holds() and "c_genuine" not in holds()
-    assert "c_genuine" in holds("f_position_jump") and "c_alert" not in holds("f_position_jump")
+    rows = [(k, *[bool(k >> n & 1) for n in range(3)]) for k in range(8)]
+    out = {r["k"]: r for r in decisions.believed(spark.createDataFrame(rows, f"k int, {', '.join(f'{n} boolean' for n in decisions.FACTS)}")).collect()}
+    for k, jump, two, match in rows:
+        spoofed = jump and two
+        assert (out[k]["c_spoofed"], out[k]["c_genuine"], out[k]["c_alert"]) == (spoofed, match and not spoofed, spoofed or two and not match)
+
+
+def test_belief_graphs_are_checked(spark):
+    one = spark.createDataFrame([(True,)], "f boolean")
+    for facts, justifications in ((("f", "f"), ()), (("f",), (("j", "c", ("g",), ()),)), (("f",), (("j", "c", ("f",), ()), ("j", "d", ("f",), ()))), (("f",), (("j", "f", (), ()),))):
+        with pytest.raises(ValueError):
+            decisions.believed(one, facts, justifications)
+    with pytest.raises(Exception, match="settle"):
+        decisions.believed(one, ("f",), (("j", "c", ("f",), ("c",)),)).collect()
+
+
+def test_gates_of_any_covariance(spark):
+    """Against all pairs, with deviations of metres and of kilometres in one frame."""
+    rng = np.random.default_rng(4)
+    tracks = [(k % 3, k, *(float(v) for v in rng.uniform(-9e4, 9e4, 2)), *p) for k in range(90) for p in [[(25.0, 0.0, 25.0), (7.4e6, 2e6, 1e6), (1.6e9, 0.0, 4e4)][k % 3 if k % 2 else 0]]]
+    plots = [(k % 3, k, *(float(v) for v in rng.uniform(-9e4, 9e4, 2)), float(rng.choice([5, 50, 900]))) for k in range(300)]
+    plots += [(f, 1000 + k, px + 4500, py, 50.0) for f, k, px, py, *_ in tracks]
+    want = set()
+    for f, k, px, py, a, b, c in tracks:
+        for g, m, x, y, s in plots:
+            p, q = a + s * s, c + s * s
+            if f == g and (q * (x - px) ** 2 - 2 * b * (x - px) * (y - py) + p * (y - py) ** 2) / (p * q - b * b) <= tracking.GATE:
+                want.add((f, k, m))
+    got = tracking.candidates(spark.createDataFrame(tracks, "frame_idx long, track_id long, px double, py double, p00 double, p01 double, p11 double"), spark.createDataFrame(plots, "frame_idx long, meas_id long, x double, y double, sigma double"))
+    rows = [tuple(r) for r in got.select("frame_idx", "track_id", "meas_id").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 40
+
+
+def test_zone_tables(spark):
+    """Holes, parts and edges; a point on a hole's edge belongs to the zone only if edges count."""
+    square = lambda a, b: [[a, a], [b, a], [b, b], [a, b], [a, a]]
+    areas = spark.createDataFrame([("z", [[square(0.0, 10000.0), square(2.0, 4.0)], [square(20000.0, 20001.0)]]), ("none", [])], "zone_id string, parts array<array<array<array<double>>>>")
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate([(1.0, 1.0), (0.0, 5.0), (3.0, 3.0), (2.0, 3.0), (10000.0, 10000.0), (20000.5, 20000.5), (15000.0, 15000.0), (-1.0, 0.0), (5.0, 0.0)])], "id int, x double, y double")
+    ids = lambda covers: {r["id"] for r in zones.contained(points, areas, covers=covers).collect()}
+    assert ids(False) == {0, 5} and ids(True) == {0, 1, 3, 4, 5, 8}
+    with pytest.raises(Exception, match="repeated"):
+        zones.without_repeats(points.select("x").unionAll(points.select("x")), "x").collect()
 
 
 def test_streams_merge_and_split(spark, tmp_path):
@@ -64,3 +103,29 @@ def test_streams_merge_and_split(spark, tmp_path):
     stream = spark.readStream.schema("mmsi long, t_abs double, name string, speed_kn double").parquet(str(tmp_path / "in"))
     got = {r["mmsi"]: r for r in live.run_once(live.changelog(stream), str(tmp_path / "out"), str(tmp_path / "cp")).collect()}
     assert got[1]["identity_changes"] >= 1 and got[1]["t_abs"] == 14.0 and got[1]["speed_kn"] == 7.0 and got[2]["name"] is None
+
+
+def test_contacts_turn_dark_by_timer(spark, tmp_path):
+    import time
+
+    from tidemark.streaming import live
+
+    schema = "mmsi long, t_abs double, x double, y double, name string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        return {(r["mmsi"], r["revision"]): r for r in live.run_once(live.contacts(stream, 1500), str(tmp_path / "out"), str(tmp_path / "cp")).collect()}
+
+    # Timers keep a query awake with batches without data; runs over what is there must end.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    put([(1, 1.0, None, None, "EARLY"), (2, 5.0, 1.0, 1.0, "B"), (3, 1.0, None, None, "NEVER")])
+    assert set(run()) == {(2, 1)}
+    time.sleep(2)
+    put([(1, 6.0, 2.0, 2.0, None), (3, 2.0, None, None, "STILL")])
+    out = run()
+    assert out[1, 1]["name"] == "EARLY" and not out[1, 1]["dark"] and out[2, 2]["kind"] == "dark" and out[2, 2]["dark"] and not any(m == 3 for m, _ in out)
+    put([(2, 4.0, 9.0, 9.0, None), (2, 7.0, 3.0, 3.0, None)])
+    out = run()
+    assert out[2, 3]["kind"] == "resume" and out[2, 3]["x"] == 3.0 and not out[2, 3]["dark"]
+    spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")

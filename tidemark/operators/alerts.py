@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,22 +74,48 @@ def zone_kind(raw: Column) -> Column:
     return lookup(token, {name: kind for kind, names in KINDS.items() for name in names.split()})
 
 
+#: Prior weight of each behaviour of a moving contact, and what full doubt and a full turn add to it.
+MOVING = {
+    "maneuver": (0.18, 0.12, 0.12),
+    "course_reversal": (0.035, 0.045, 0.0),
+    "drift": (0.035, 0.04, 0.0),
+    "stopped": (0.025, 0.035, 0.0),
+    "slow_maneuver": (0.04, 0.0, 0.04),
+}
+#: Statuses of rest, the speed below which a contact rests, the age (s), gaps and turn rate at which doubt and turn are full, and the least weight of keeping course.
+RESTING, SLOW, FULL_AGE, FULL_GAPS, FULL_TURN, LEAST_COURSE = (1, 5, 6), 0.8, 3600, 8, 1.5, 0.2
+
+
 def behaviour_priors(speed: Column, status: Column, turn: Column, age_s: Column, missing: Column) -> dict[str, Column]:
-    """Prior of each behaviour by a contact's last state; they add up to 1."""
-    rest = status.isin(1, 5, 6) | (speed < 0.8)
-    unsure = F.least(F.lit(1.0), age_s / 3600 + missing / 8)
-    turning = F.least(F.lit(1.0), F.abs(turn) / 1.5)
-    w = {
-        "maneuver": 0.18 + unsure * 0.12 + turning * 0.12,
-        "course_reversal": 0.035 + unsure * 0.045,
-        "drift": 0.035 + unsure * 0.04,
-        "stopped": 0.025 + unsure * 0.035,
-        "slow_maneuver": 0.04 + turning * 0.04,
-    }
-    others = sum(w.values(), F.lit(0.0))
-    w["maintain_course"] = F.greatest(F.lit(0.2), 1.0 - others)
-    total = others + w["maintain_course"]
-    return {name: F.when(rest, F.lit(AT_REST[name])).otherwise(c / total) for name, c in w.items()}
+    """Prior of each behaviour by a contact's last state; they add up to 1. Weights come from MOVING, keeping course takes what they leave."""
+    full = lambda c: F.least(F.lit(1.0), c)
+    doubt, turned = full(age_s / FULL_AGE + missing / FULL_GAPS), full(F.abs(turn) / FULL_TURN)
+    weights = {name: base + by_doubt * doubt + by_turn * turned for name, (base, by_doubt, by_turn) in MOVING.items()}
+    taken = reduce(add, weights.values())
+    weights["maintain_course"] = F.greatest(F.lit(LEAST_COURSE), 1 - taken)
+    at_rest = status.isin(*RESTING) | (speed < SLOW)
+    return {name: F.when(at_rest, F.lit(AT_REST[name])).otherwise(w / (taken + weights["maintain_course"])) for name, w in weights.items()}
+
+
+def detail(kind: Column, severity: Column, label: Column, dark: Column, zone: Column, t: Column) -> Column:
+    """The line of an alert. The wording is fixed, as clients show it; t in whole seconds is h:mm:ss."""
+    s = F.floor(t).cast("long")
+    stamp = F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+    head = F.concat(F.lit("["), stamp, F.lit("] "), F.upper(severity), F.lit(": "))
+    said = (
+        F.when(kind == "intrusion", F.concat(label, F.when(dark, " (DARK, position predicted) entered ").otherwise(" (tracked) entered "), zone))
+        .when(kind == "went_dark", F.concat(label, F.lit(" stopped transmitting; coasting on prediction, uncertainty growing")))
+        .when(kind == "reacquired", F.concat(F.lit("unlabelled detection fused into "), label, F.lit(" after dark period")))
+        .when(kind == "identity_change", F.concat(F.lit("displayed identity of "), label, F.lit(" changed")))
+        .otherwise(F.concat(kind, F.lit(" on "), label))
+    )
+    return F.concat(head, said)
+
+
+def raised(rows: DataFrame, mission: str, order: list[str]) -> DataFrame:
+    """rows with alert_id: A-001 and so on within each mission, in the given order."""
+    n = F.row_number().over(W.partitionBy(mission).orderBy(*order))
+    return rows.withColumn("alert_id", F.concat(F.lit("A-"), F.when(n < 1000, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))))
 
 
 def windage(ship_type: Column, draught: Column) -> tuple[Column, Column]:

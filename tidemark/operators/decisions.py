@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+from operator import and_, or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Response tiers as (tier, low, high) in USD for the first hour.
@@ -11,38 +14,105 @@ TIERS = (("review", 192, 589), ("boat", 4690, 27963), ("air", 19346, 90078))
 RANK = {"info": 0, "warning": 1, "critical": 2, "emergency": 3}
 
 
-def believed(facts: DataFrame, justifications: DataFrame, most_passes: int = 64) -> DataFrame:
-    """node, believed after the fixpoint: a conclusion holds if any justification has all supports and no refutation.
+#: The demonstration graph of a spoofed identity: facts, and (id, conclusion, supports, refutes) of each justification.
+FACTS = ("f_position_jump", "f_two_emitters", "f_registry_match")
+SPOOFED = (
+    ("j1", "c_spoofed", ("f_position_jump", "f_two_emitters"), ()), ("j2", "c_genuine", ("f_registry_match",), ("c_spoofed",)),
+    ("j3", "c_alert", ("c_spoofed",), ()), ("j4", "c_alert", ("f_two_emitters",), ("f_registry_match",)),
+)
+#: Fixed value: after so many passes a graph that hasn't settled is an error.
+MOST_PASSES = 64
+
+
+def conclusions(facts: tuple[str, ...], justifications: tuple) -> list[str]:
+    """The graph's conclusions in order; an error for repeated ids and for nodes that nothing defines."""
+    names = list(dict.fromkeys(j[1] for j in justifications))
+    ids = [j[0] for j in justifications]
+    if len(set(facts)) < len(facts) or len(set(ids)) < len(ids) or set(facts) & set(names):
+        raise ValueError("an id is in the graph twice")
+    if unknown := {n for j in justifications for n in (*j[2], *j[3])} - {*facts, *names}:
+        raise ValueError(f"unknown: {', '.join(sorted(unknown))}")
+    return names
+
+
+def holds(justification: tuple, status: dict[str, Column]) -> Column:
+    return reduce(and_, [*[status[n] for n in justification[2]], *[~status[n] for n in justification[3]]], F.lit(True))
+
+
+def believed(rows: DataFrame, facts: tuple[str, ...] = FACTS, justifications: tuple = SPOOFED) -> DataFrame:
+    """rows, one belief graph each with a boolean column for each fact, with a boolean column for each conclusion.
+
+    A conclusion holds if any of its justifications has all supports and no refutation. Each pass works out all
+    conclusions from those of the pass before; a graph that doesn't settle raises. Graphs are small and the same for
+    all rows, so a row's passes are a fold over its few booleans.
+    """
+    names = conclusions(facts, justifications)
+    start = F.struct(F.array(*[F.lit(False)] * len(names)).alias("now"), F.lit(False).alias("settled"))
+
+    def one_pass(state: Column, _: Column) -> Column:
+        status = {n: F.coalesce(F.col(n), F.lit(False)) for n in facts} | {n: F.get(state["now"], F.lit(k)) for k, n in enumerate(names)}
+        new = F.array(*[reduce(or_, [holds(j, status) for j in justifications if j[1] == n]) for n in names])
+        return F.when(state["settled"], state).otherwise(F.struct(new.alias("now"), (new == state["now"]).alias("settled")))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_PASSES)), start, one_pass)
+    d = rows.withColumn("_found", F.explode(F.array(found)))
+    now = F.when(F.col("_found.settled"), F.col("_found.now")).otherwise(F.raise_error(F.lit("beliefs don't settle")).cast("array<boolean>"))
+    return d.withColumn("_found", now).select(*rows.columns, *[F.get("_found", F.lit(k)).alias(n) for k, n in enumerate(names)])
+
+
+def reason(name: str, justifications: tuple = SPOOFED) -> Column:
+    """Why a conclusion holds (its first justification that does) or doesn't (what its first lacks), over columns of all nodes.
 
-    facts: node, believed. justifications: just_id, node, supports, refutes (arrays). Raises if passes don't settle.
+    The wording is fixed, as clients show it.
     """
-    needs = justifications.select("just_id", "node", F.explode_outer(F.concat(F.transform("supports", lambda s: F.struct(s.alias("on"), F.lit(True).alias("want"))), F.transform("refutes", lambda s: F.struct(s.alias("on"), F.lit(False).alias("want"))))).alias("x")).select("just_id", "node", "x.on", "x.want")
-    status = facts.unionByName(justifications.select("node", F.lit(False).alias("believed")).distinct())
-    before = None
-    for _ in range(most_passes):
-        met = needs.join(status.select(F.col("node").alias("on"), "believed"), "on", "left").groupBy("just_id", "node").agg(F.bool_and(F.coalesce(F.col("believed"), F.lit(False)) == F.coalesce(F.col("want"), F.lit(True))).alias("ok"))
-        status = facts.unionByName(met.groupBy("node").agg(F.bool_or("ok").alias("believed")))
-        now = sorted(map(tuple, status.where("believed").select("node").collect()))  # a belief graph is a few dozen nodes
-        if now == before:
-            return status
-        before, status = now, facts.sparkSession.createDataFrame(status.collect(), status.schema)
-    raise RuntimeError("beliefs don't settle")
-
-
-def belief_graph(spark: SparkSession, retracted: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """The demonstration graph of a spoofed identity."""
-    facts = [(f, f not in retracted) for f in ("f_position_jump", "f_two_emitters", "f_registry_match")]
-    rows = [("j1", "c_spoofed", ["f_position_jump", "f_two_emitters"], []), ("j2", "c_genuine", ["f_registry_match"], ["c_spoofed"]), ("j3", "c_alert", ["c_spoofed"], []), ("j4", "c_alert", ["f_two_emitters"], ["f_registry_match"])]
-    return spark.createDataFrame(facts, "node string, believed boolean"), spark.createDataFrame(rows, "just_id string, node string, supports array<string>, refutes array<string>")
-
-
-def pruned(leaves: DataFrame, floor: float = 0.01, cap: int = 8) -> DataFrame:
+    own = [j for j in justifications if j[1] == name]
+    status = {n: F.coalesce(F.col(n), F.lit(False)) for j in justifications for n in (j[1], *j[2], *j[3])}
+    both = lambda j, yes, no: [(n, yes, status[n]) for n in j[2]] + [(n, no, ~status[n]) for n in j[3]]
+    whole = lambda j: " and ".join(f"{n} {text}" for n, text, _ in both(j, "is believed", "is not believed")) or "trivially (no antecedents or inhibitors)"
+    lacks = F.concat_ws(" and ", *[F.when(~met, F.lit(f"{n} {text}")) for n, text, met in both(own[0], "is no longer believed", "is now believed")])
+    more = f"; no alternate justification holds ({len(own) - 1} other(s) also unsatisfied)" if len(own) > 1 else ""
+    out = F.concat(F.lit(f"justification {own[0][0]} not satisfied: "), lacks, F.lit(more))
+    for j in own[::-1]:
+        out = F.when(holds(j, status), F.lit(f"justification {j[0]} satisfied: {whole(j)}")).otherwise(out)
+    return out
+
+
+def stepped(leaves: DataFrame, ambiguous: Column, w1: float = 0.5, w2: float = 0.5, fork_all: bool = False) -> DataFrame:
+    """The leaves (group, root, hyp_id, weight, depth) after a frame: where it is ambiguous the heaviest leaf (or all) gives way to two children, else all leaves are one deeper."""
+    from pyspark.sql import Window as W
+
+    rank = F.row_number().over(W.partitionBy("group").orderBy(F.desc("weight"), "hyp_id"))
+    d = leaves.withColumn("_fork", ambiguous & (F.lit(fork_all) | (rank == 1))).withColumn("_deeper", F.col("_fork") | ~ambiguous)
+    child = lambda mark, w: F.struct(F.concat("hyp_id", F.lit(mark)).alias("hyp_id"), (F.col("weight") * w).alias("weight"))
+    after = F.when(F.col("_fork"), F.array(child("a", w1), child("b", w2))).otherwise(F.array(child("", 1.0)))
+    return d.select("group", "root", (F.col("depth") + F.col("_deeper").cast("int")).alias("depth"), F.inline(after))
+
+
+def collapsed(leaves: DataFrame, depth: int = 3) -> DataFrame:
+    """Of a root with two leaves or more, one of them depth deep or deeper, only the heaviest leaf."""
+    from pyspark.sql import Window as W
+
+    g = W.partitionBy("group", "root")
+    d = leaves.withColumn("_many", (F.count(F.lit(1)).over(g) > 1) & (F.max("depth").over(g) >= depth)).withColumn("_rank", F.row_number().over(g.orderBy(F.desc("weight"), "hyp_id")))
+    return d.where(~F.col("_many") | (F.col("_rank") == 1)).drop("_many", "_rank")
+
+
+def maintained(leaves: DataFrame) -> DataFrame:
+    """Weights are normalised before roots are collapsed; light leaves are those below the floor of these weights."""
+    from pyspark.sql import Window as W
+
+    total = F.sum("weight").over(W.partitionBy("group"))
+    share = F.when(total > 0, F.col("weight") / total).otherwise(1 / F.count(F.lit(1)).over(W.partitionBy("group")))
+    return pruned(collapsed(leaves.withColumn("weight", share)), normalise=False)
+
+
+def pruned(leaves: DataFrame, floor: float = 0.01, cap: int = 8, normalise: bool = True) -> DataFrame:
     """group, hyp_id, weight of the hypotheses that stay: weights are normalised, light ones and those beyond the cap go (never the heaviest), the rest is normalised again."""
     from pyspark.sql import Window as W
 
     g = W.partitionBy("group")
     total = F.sum("weight").over(g)
-    d = leaves.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(1 / F.count(F.lit(1)).over(g)))
+    d = leaves if not normalise else leaves.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(1 / F.count(F.lit(1)).over(g)))
     d = d.withColumn("rank", F.row_number().over(g.orderBy(F.desc("weight"), "hyp_id"))).where(((F.col("weight") >= floor) | (F.col("rank") == 1)) & (F.col("rank") <= cap))
     return d.withColumn("weight", F.col("weight") / F.sum("weight").over(g)).drop("rank")
 

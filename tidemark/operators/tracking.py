@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.cells import in_cells
+
 GATE, PD, BETA = 9.21034, 0.9, 1e-6
 MISS, BIRTH = -math.log(1 - PD), -math.log(BETA)
 LOG_2PI = math.log(2 * math.pi)
@@ -25,20 +27,39 @@ def distance2(dx: Column, dy: Column, a: Column, b: Column, c: Column) -> tuple[
     return (c * dx * dx - 2 * b * dx * dy + a * dy * dy) / det, F.log(det)
 
 
-def pair_costs(tracks: DataFrame, plots: DataFrame) -> DataFrame:
-    """Per frame, every track (frame_idx, track_id, px, py, p00, p01, p11) with every gated plot (frame_idx, meas_id, x, y, sigma).
+def candidates(tracks: DataFrame, plots: DataFrame, gate: float = GATE) -> DataFrame:
+    """Per frame, every track (frame_idx, track_id, px, py, p00, p01, p11) with every plot (frame_idx, meas_id, x, y, sigma) inside the gate; adds dx, dy, the sum's covariance a, b, c and d2.
 
-    Both sides are cut into cells of the gate's reach, so that frames with many contacts don't make all pairs.
+    A track is dealt to the cells that its own gate's box touches, whatever its covariance, so no gated pair is lost.
     """
-    reach = 2000.0
-    cell = lambda c: F.floor(F.col(c) / reach).cast("long")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    t = tracks.withColumn("o", F.explode(around)).withColumn("cx", cell("px") + F.col("o.i")).withColumn("cy", cell("py") + F.col("o.j")).drop("o")
-    pairs = t.join(plots.withColumn("cx", cell("x")).withColumn("cy", cell("y")), ["frame_idx", "cx", "cy"])
+    most = plots.groupBy("frame_idx").agg(F.max(F.col("sigma") * F.col("sigma")).alias("most"))
+    wide = lambda p: F.sqrt(gate * (F.col(p) + F.col("most")))
+    t = tracks.join(most, "frame_idx").withColumn("rx", wide("p00")).withColumn("ry", wide("p11")).drop("most")
+    low, high = [tuple(F.col(c) + sign * F.col(r) for c, r in (("px", "rx"), ("py", "ry"))) for sign in (-1, 1)]
+    pairs = in_cells(t, plots, ["frame_idx"], low, high, (F.col("x"), F.col("y"))).drop("rx", "ry")
     r = F.col("sigma") * F.col("sigma")
-    d2, logdet = distance2(F.col("x") - F.col("px"), F.col("y") - F.col("py"), F.col("p00") + r, F.col("p01"), F.col("p11") + r)
-    pairs = pairs.withColumn("d2", d2).where(F.col("d2") <= GATE)
-    return pairs.withColumn("cost", 0.5 * F.col("d2") + LOG_2PI + 0.5 * logdet - math.log(PD)).drop("cx", "cy")
+    pairs = pairs.withColumns({"dx": F.col("x") - F.col("px"), "dy": F.col("y") - F.col("py"), "a": F.col("p00") + r, "b": F.col("p01"), "c": F.col("p11") + r})
+    d2, _ = distance2(*[F.col(k) for k in ("dx", "dy", "a", "b", "c")])
+    return pairs.withColumn("d2", d2).where(F.col("d2") <= gate)
+
+
+def pair_costs(tracks: DataFrame, plots: DataFrame) -> DataFrame:
+    """The candidates inside the gate with their cost."""
+    pairs = candidates(tracks, plots)
+    _, logdet = distance2(*[F.col(k) for k in ("dx", "dy", "a", "b", "c")])
+    return pairs.withColumn("cost", 0.5 * F.col("d2") + LOG_2PI + 0.5 * logdet - math.log(PD)).drop("dx", "dy", "a", "b", "c")
+
+
+def left_over(tracks: DataFrame, plots: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tracks and the plots of each frame that an assignment leaves without a partner."""
+    return tracks.join(chosen, ["frame_idx", "track_id"], "left_anti"), plots.join(chosen, ["frame_idx", "meas_id"], "left_anti")
+
+
+def mutual_best(pairs: DataFrame) -> DataFrame:
+    """The pairs that are the cheapest of both their track and their plot: the first round of any greedy assignment. Ties go to the smaller ids."""
+    pick = F.struct("cost", "track_id", "meas_id")
+    best = lambda side: pairs.groupBy("frame_idx", side).agg(F.min(pick).alias("p")).select("frame_idx", "p.track_id", "p.meas_id", "p.cost")
+    return best("track_id").join(best("meas_id"), ["frame_idx", "track_id", "meas_id", "cost"])
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -184,6 +205,19 @@ def switches(matches: DataFrame) -> DataFrame:
     return d.groupBy("truth_id").agg(F.count(F.lit(1)).alias("n_matches"), F.sum("switch").cast("long").alias("n_switches"), F.count_distinct("track_id").alias("n_tracks"))
 
 
+def clear_mot_totals(matches: DataFrame, frames: DataFrame) -> DataFrame:
+    """One row: id_switches, merges, frames, total_matches, truths_seen, tracks_seen. matches as in switches; frames: every frame, empty ones too.
+
+    A merge is each further truth that one track has in the same frame. Truths and tracks are counted from one row each.
+    """
+    by_truth = switches(matches).agg(F.coalesce(F.sum("n_switches"), F.lit(0)).alias("id_switches"), F.coalesce(F.sum("n_matches"), F.lit(0)).alias("total_matches"), F.count(F.lit(1)).alias("truths_seen"))
+    one = matches.select("frame", "track_id", "truth_id").distinct().groupBy("frame", "track_id").agg((F.count(F.lit(1)) - 1).alias("more"))
+    merged = one.groupBy("track_id").agg(F.sum("more").alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("merges"), F.count(F.lit(1)).alias("tracks_seen"))
+    counted = frames.select("frame").distinct().agg(F.count(F.lit(1)).alias("frames"))
+    key = F.lit(1).alias("_one")  # three tables of one row each
+    return by_truth.select("*", key).join(merged.select("*", key), "_one").join(counted.select("*", key), "_one").drop("_one")
+
+
 def reattributed(candidates: DataFrame, beta: float = 1e-9) -> DataFrame:
     """candidates (det_id, track_id, dx, dy, a, b, c, ...) with d2, gated_out and p: likelihoods over their sum and the clutter density, in logarithms."""
     d2, logdet = distance2(F.col("dx"), F.col("dy"), F.col("a"), F.col("b"), F.col("c"))

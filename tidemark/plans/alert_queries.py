@@ -85,13 +85,13 @@ def eval_rollup(spark, sf_dir):
     return eval_timing(spark, sf_dir).groupBy("key").agg(n("PASS").alias("passed"), n("FAIL").alias("failed"), n("SKIP").alias("skipped"), (n("FAIL") == 0).alias("ok"))
 
 
-@query("""{DET}, s AS (SELECT user_id // 12 AS mission, mmsi, x, y FROM det WHERE frame_idx = 0), p AS (SELECT a.mission, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM s a JOIN s b ON a.mission = b.mission AND a.mmsi < b.mmsi GROUP BY 1)
+@query("""{DET}, s AS (SELECT user_id // 12 AS mission, frame_idx, mmsi, x, y FROM det), p AS (SELECT a.mission, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM s a JOIN s b ON a.mission = b.mission AND a.frame_idx = b.frame_idx AND a.mmsi < b.mmsi GROUP BY 1)
 SELECT mission, round(d, 3) AS separation, CASE WHEN d < 900 THEN 'FAIL' WHEN d - 900 < 9 THEN 'MARGIN' ELSE 'PASS' END AS outcome FROM p""")
 def min_separation(spark, sf_dir):
-    """The nearest two contacts of each mission at its start. Missions have twelve contacts, so pairs stay few."""
-    s = det(spark, sf_dir).where("frame_idx = 0").select(F.floor(F.col("user_id") / 12).alias("mission"), "mmsi", "x", "y")
-    a, b = s.select("mission", *[F.col(c).alias(f"{c}_a") for c in ("mmsi", "x", "y")]), s.select("mission", *[F.col(c).alias(f"{c}_b") for c in ("mmsi", "x", "y")])
-    p = a.join(b, "mission").where("mmsi_a < mmsi_b").groupBy("mission").agg(F.min(F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))).alias("d"))
+    """The nearest two contacts of each mission in any frame. Missions have twelve contacts, so pairs of a frame stay few."""
+    s = det(spark, sf_dir).select(F.floor(F.col("user_id") / 12).alias("mission"), "frame_idx", "mmsi", "x", "y")
+    side = lambda k: s.select("mission", "frame_idx", *[F.col(c).alias(f"{c}_{k}") for c in ("mmsi", "x", "y")])
+    p = side("a").join(side("b"), ["mission", "frame_idx"]).where("mmsi_a < mmsi_b").groupBy("mission").agg(F.min(F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b"))).alias("d"))
     return p.select("mission", r("d", 3).alias("separation"), alerts.separation(F.col("d"), 900.0).alias("outcome"))
 
 

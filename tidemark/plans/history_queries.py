@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import geo
 from tidemark.operators import history, movement
-from tidemark.plans.registry import IN_H, NOW, det, query, r
+from tidemark.plans.registry import IN_H, LATEST, NOW, SILENT, det, query, r
 from tidemark.sources.tables import table
 
 #: Positions in degrees of the reports, for SQL.
@@ -164,13 +164,14 @@ def convex_hull(spark, sf_dir):
     return history.hulls(det(spark, sf_dir))
 
 
-@query("""{DET}, a AS (SELECT event_id AS det_id, frame_idx, x, y FROM det WHERE source = 'radar'), b AS (SELECT frame_idx, x AS px, y AS py FROM det WHERE mmsi % 10 = 0)
+@query(f"""{{DET}}, {LATEST}, a AS (SELECT event_id AS det_id, frame_idx, x, y FROM det WHERE source = 'radar'), b AS (SELECT frame_idx, x AS px, y AS py FROM last WHERE dark)
 SELECT det_id, EXISTS (FROM b WHERE b.frame_idx = a.frame_idx AND sqrt((x - px) ** 2 + (y - py) ** 2) <= 600) AS reachable FROM a""")
 def reachable_plots(spark, sf_dir):
-    """Which radar plots some silent track can have reached since the frame before, at 20 m/s."""
+    """Which radar plots some silent contact can have reached since its last frame, at 20 m/s."""
     d = det(spark, sf_dir)
     plots = d.where("source = 'radar'").select(F.col("event_id").alias("det_id"), "frame_idx", "x", "y")
-    return history.reachable(plots, d.where("mmsi % 10 = 0").select("frame_idx", F.col("x").alias("px"), F.col("y").alias("py")), 600.0).select("det_id", "reachable")
+    silent = movement.latest(d, NOW, SILENT).where("dark")
+    return history.reachable(plots, silent.select("frame_idx", F.col("x").alias("px"), F.col("y").alias("py")), 600.0).select("det_id", "reachable")
 
 
 @query("""{DET}, q AS (SELECT a.frame_idx, a.mmsi AS mmsi_a, b.mmsi AS mmsi_b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM det a JOIN det b ON a.frame_idx = b.frame_idx AND a.mmsi < b.mmsi)

@@ -274,23 +274,32 @@ def track_lifecycle(spark, sf_dir):
     return tracking.lifecycles(d)
 
 
-@query("""{DET}, q AS (SELECT b.event_id AS det_id, a.mmsi AS track_id, b.x - a.x AS dx, b.y - a.y AS dy, 300 * 300 + b.sigma * b.sigma AS s FROM det a JOIN det b ON a.frame_idx = b.frame_idx AND a.mmsi % 10 = 0 AND b.source = 'radar'),
-d AS (SELECT *, (dx * dx + dy * dy) / s AS d2 FROM q WHERE dx * dx + dy * dy <= 2000 * 2000), l AS (SELECT *, CASE WHEN d2 <= 9.21034 THEN exp(-0.5 * d2) / (2 * pi() * s) ELSE 0 END AS lik FROM d)
+@query(f"""{{DET}}, {LATEST}, q AS (SELECT b.event_id AS det_id, a.mmsi AS track_id, b.x - a.x AS dx, b.y - a.y AS dy, 300 * 300 + b.sigma * b.sigma AS s FROM last a JOIN det b ON a.frame_idx = b.frame_idx AND a.dark AND b.source = 'radar' AND a.mmsi <> b.mmsi),
+d AS (SELECT *, (dx * dx + dy * dy) / s AS d2 FROM q WHERE (dx * dx + dy * dy) / s <= 4 * 9.21034), l AS (SELECT *, CASE WHEN d2 <= 9.21034 THEN exp(-0.5 * d2) / (2 * pi() * s) ELSE 0 END AS lik FROM d)
 SELECT det_id, track_id, d2 > 9.21034 AS gated_out, round(d2, 5) AS d2, round(lik / (sum(lik) OVER (PARTITION BY det_id) + 1e-9), 6) AS p FROM l""")
 def reassociate(spark, sf_dir):
-    """Radar plots against silent tracks within 2 km, joined by frame and cell."""
+    """Radar plots against every contact that is silent now, at its last place; candidates up to four times the gate, so that those it shuts out are seen."""
     d = det(spark, sf_dir)
-    cell = lambda c: F.floor(F.col(c) / 2000).cast("long")
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    a = d.where("mmsi % 10 = 0").select("frame_idx", F.col("mmsi").alias("track_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.explode(around).alias("o"))
-    a = a.select("frame_idx", "track_id", "px", "py", (cell("px") + F.col("o.i")).alias("cx"), (cell("py") + F.col("o.j")).alias("cy"))
-    b = d.where("source = 'radar'").select("frame_idx", F.col("event_id").alias("det_id"), "x", "y", "sigma", cell("x").alias("cx"), cell("y").alias("cy"))
-    s = 90000.0 + F.col("sigma") * F.col("sigma")
-    c = a.join(b, ["frame_idx", "cx", "cy"]).select("det_id", "track_id", (F.col("x") - F.col("px")).alias("dx"), (F.col("y") - F.col("py")).alias("dy"), s.alias("a"), F.lit(0.0).alias("b"), s.alias("c"))
-    c = tracking.reattributed(c.where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= 4_000_000))
+    silent = movement.latest(d, NOW, SILENT).where("dark")
+    tracks = silent.select("frame_idx", F.col("mmsi").alias("track_id"), F.col("x").alias("px"), F.col("y").alias("py"), F.lit(90000.0).alias("p00"), F.lit(0.0).alias("p01"), F.lit(90000.0).alias("p11"))
+    plots = d.where("source = 'radar'").select("frame_idx", F.col("event_id").alias("meas_id"), "x", "y", "sigma", F.col("mmsi").alias("own"))
+    c = tracking.reattributed(tracking.candidates(tracks, plots, 4 * tracking.GATE).where("track_id <> own").withColumnRenamed("meas_id", "det_id"))
     return c.select("det_id", "track_id", "gated_out", r("d2", 5).alias("d2"), r("p", 6).alias("p"))
 
 
+WIDE = """{DET}, q AS (SELECT a.frame_idx, a.mmsi AS track_id, b.event_id AS meas_id, b.x - a.x AS dx, b.y - a.y AS dy, 100.0::DOUBLE * (1 + a.mmsi % 5 * 300) ** 2 + b.sigma * b.sigma AS p, 2500.0::DOUBLE * (1 + a.mmsi % 3 * 20) ** 2 + b.sigma * b.sigma AS s FROM det a JOIN det b ON a.frame_idx = b.frame_idx AND a.mmsi % 2 = 0 AND b.mmsi % 2 = 1),
+d AS (SELECT *, dx * dx / p + dy * dy / s AS d2 FROM q)"""
+
+
+@query(WIDE + " SELECT frame_idx, track_id, meas_id, round(d2, 5) AS d2 FROM d WHERE d2 <= 9.21034")
+def gate_wide_tracks(spark, sf_dir):
+    """Gated pairs of tracks whose deviation is 10 m to 12 km."""
+    tracks, plots = tracks_and_plots(spark, sf_dir)
+    deviation = lambda step, k, far: (step * (1 + F.col("track_id") % k * far)).cast("double")
+    wide = tracks.withColumns({"p00": deviation(10, 5, 300) * deviation(10, 5, 300), "p01": F.lit(0.0), "p11": deviation(50, 3, 20) * deviation(50, 3, 20)})
+    return tracking.candidates(wide, plots).select("frame_idx", "track_id", "meas_id", r("d2", 5).alias("d2"))
+
+
 @query("""{DET}, e AS (SELECT mmsi, count(*)::DOUBLE * 100 AS a, (mmsi % 7 * 20)::DOUBLE AS b, max(frame_idx)::DOUBLE * 90 + 500 AS c FROM det GROUP BY 1)
 SELECT mmsi, round(sqrt(5.991 * ((a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b))), 4) AS major, round(sqrt(5.991 * greatest((a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b), 0)), 4) AS minor, round(degrees(atan2(2 * b, a - c) / 2), 4) AS angle FROM e""")
 def ellipse_axes(spark, sf_dir):
@@ -388,11 +397,25 @@ def hypothesis_maintain(spark, sf_dir):
     return decisions.pruned(h).select(F.col("group").alias("frame_idx"), "hyp_id", r("weight", 6).alias("weight"))
 
 
-@query("""{DET}, f AS (SELECT mmsi, bool_or(event_type = 'error') AS jump, bool_or(event_type = 'click') AS two, bool_or(event_type = 'purchase') AS reg FROM det WHERE frame_idx < 4 GROUP BY 1)
-SELECT mmsi, jump AND two AS spoofed, reg AND NOT (jump AND two) AS genuine, (jump AND two) OR (two AND NOT reg) AS alert FROM f""")
-def beliefs_by_contact(spark, sf_dir):
-    """Each contact's own belief graph, solved for all contacts at once: conclusions in order of dependence."""
+FACTS_SQL = "{DET}, f AS (SELECT mmsi, bool_or(event_type = 'error') AS jump, bool_or(event_type = 'click') AS two, bool_or(event_type = 'purchase') AS reg FROM det GROUP BY 1)"
+
+
+def facts_by_contact(spark, sf_dir):
+    """What each contact's reports say, all of them."""
     said = lambda kind: F.bool_or(F.col("event_type") == kind)
-    f = det(spark, sf_dir).where("frame_idx < 4").groupBy("mmsi").agg(said("error").alias("jump"), said("click").alias("two"), said("purchase").alias("reg"))
-    f = f.withColumn("spoofed", F.col("jump") & F.col("two"))
-    return f.select("mmsi", "spoofed", (F.col("reg") & ~F.col("spoofed")).alias("genuine"), (F.col("spoofed") | F.col("two") & ~F.col("reg")).alias("alert"))
+    return det(spark, sf_dir).groupBy("mmsi").agg(*[said(kind).alias(name) for name, kind in zip(decisions.FACTS, ("error", "click", "purchase"), strict=True)])
+
+
+@query(FACTS_SQL + " SELECT mmsi, jump AND two AS spoofed, reg AND NOT (jump AND two) AS genuine, (jump AND two) OR (two AND NOT reg) AS alert FROM f")
+def beliefs_by_contact(spark, sf_dir):
+    """Each contact's own belief graph, solved for all contacts at once."""
+    found = decisions.believed(facts_by_contact(spark, sf_dir))
+    return found.select("mmsi", *[F.col(f"c_{c}").alias(c) for c in ("spoofed", "genuine", "alert")])
+
+
+@query(FACTS_SQL + """ SELECT mmsi, CASE WHEN jump AND two THEN 'justification j3 satisfied: c_spoofed is believed' WHEN two AND NOT reg THEN 'justification j4 satisfied: f_two_emitters is believed and f_registry_match is not believed'
+  ELSE 'justification j3 not satisfied: c_spoofed is no longer believed; no alternate justification holds (1 other(s) also unsatisfied)' END AS alert,
+ CASE WHEN reg AND NOT (jump AND two) THEN 'justification j2 satisfied: f_registry_match is believed and c_spoofed is not believed' ELSE 'justification j2 not satisfied: ' || concat_ws(' and ', CASE WHEN NOT reg THEN 'f_registry_match is no longer believed' END, CASE WHEN jump AND two THEN 'c_spoofed is now believed' END) END AS genuine FROM f""")
+def belief_reasons(spark, sf_dir):
+    found = decisions.believed(facts_by_contact(spark, sf_dir))
+    return found.select("mmsi", decisions.reason("c_alert").alias("alert"), decisions.reason("c_genuine").alias("genuine"))

@@ -35,6 +35,54 @@ def changelog(reports: DataFrame) -> DataFrame:
     return reports.groupBy("mmsi").applyInPandasWithState(merge, CHANGE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+CONTACT = "mmsi long, kind string, t_abs double, x double, y double, name string, dark boolean, revision long"
+CONTACT_STATE = "t_abs double, x double, y double, name string, dark boolean, revision long, seen_ms long"
+
+
+def contacts(messages: DataFrame, silent_ms: int = 45_000) -> DataFrame:
+    """messages (streaming): mmsi, t_abs, x, y, name; without x it is static data. A row for each change: update, resume or dark.
+
+    Static data that come before a contact's first position wait for it in the state and aren't seen outside; they never
+    count as a sign of life. A contact of which no position came for silent_ms of processing time turns dark by its own
+    timer, and a position ends that. Positions that aren't newer than the last are dropped.
+    """
+
+    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        t_abs, x, y, name, dark, revision, seen = state.get if state.exists else (None, None, None, None, False, 0, 0)
+        kind = None
+        if state.hasTimedOut:
+            dark, kind = True, "dark"
+        else:
+            for r in pd.concat(list(batches)).sort_values("t_abs", kind="stable").itertuples():
+                moved = pd.notna(r.x)
+                if moved and t_abs is not None and r.t_abs <= t_abs:
+                    continue
+                if isinstance(r.name, str) and r.name.strip():
+                    name = r.name.strip()
+                if moved:
+                    kind, dark = "resume" if dark or kind == "resume" else "update", False
+                    t_abs, x, y, seen = r.t_abs, r.x, r.y, state.getCurrentProcessingTimeMs()
+                elif t_abs is not None:
+                    kind = kind or "update"
+        revision += kind is not None
+        state.update((t_abs, x, y, name, dark, revision, seen))
+        if t_abs is not None and not dark:
+            state.setTimeoutDuration(max(1, seen + silent_ms - state.getCurrentProcessingTimeMs()))
+        if kind:
+            yield pd.DataFrame([(key[0], kind, t_abs, x, y, name, dark, revision)], columns=[c.split()[0] for c in CONTACT.split(", ")])
+
+    return messages.groupBy("mmsi").applyInPandasWithState(keep, CONTACT, CONTACT_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def evicted(latest: DataFrame, capacity: int, pinned: tuple[int, ...] = ()) -> DataFrame:
+    """The contacts (mmsi, t_abs, dark) beyond capacity, those least recently seen; silent and pinned ones are never among them, but pinned ones take up room."""
+    active = latest.where(~F.col("dark"))
+    held = active.where(F.col("mmsi").isin(*pinned)).count() if pinned else 0
+    free = active.where(~F.col("mmsi").isin(*pinned)) if pinned else active
+    kept = free.orderBy(F.desc("t_abs"), "mmsi").limit(max(0, capacity - held))
+    return free.join(kept.select("mmsi"), "mmsi", "left_anti")
+
+
 def spells(reports: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """reports (streaming or not): mmsi, ts. Unbroken spells of reporting: a silence longer than gap ends one."""
     rows = reports.withWatermark("ts", late) if reports.isStreaming else reports
