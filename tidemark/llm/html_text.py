@@ -371,7 +371,7 @@ def differenced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(list(results(None)), columns=columns)
 
 
-def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_task: int = 20_000) -> DataFrame:
+def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", per_task: int = 5_000) -> DataFrame:
     """page_id, url and text of every page, n_shared (lines that differencing deleted) and n_marked (lines that only the mark-up did)."""
     spark = pages.sparkSession
     short_batches(spark, 200)
