@@ -143,3 +143,11 @@ def first_match(rows: DataFrame, registry: DataFrame, keys: tuple[tuple[str, Col
     hits = rows.select("row_id", F.explode(named).alias("k")).select("row_id", "k.*").join(registry, ["basis", "key"])
     best = hits.groupBy("row_id").agg(F.min(F.struct("rank", "match_id", "basis")).alias("m"))
     return rows.join(best, "row_id", "left").select(*rows.columns, F.col("m.match_id").alias("match_id"), F.col("m.basis").alias("basis"))
+
+
+def priced(options: DataFrame, rates: DataFrame, key: str) -> DataFrame:
+    """key, low_usd, high_usd, n_inputs, missing of options (key, resource, low_hours, high_hours) by the rates (resource, usd) an hour; resources without a rate are named, not priced."""
+    d = options.join(rates.select("resource", "usd"), "resource", "left")
+    cost = lambda hours: F.coalesce(F.sum(F.col(hours) * F.col("usd")), F.lit(0.0))
+    missing = F.sort_array(F.collect_set(F.when(F.col("usd").isNull(), F.col("resource"))))
+    return d.groupBy(key).agg(cost("low_hours").alias("low_usd"), cost("high_hours").alias("high_usd"), F.count(F.lit(1)).alias("n_inputs"), missing.alias("missing"))
