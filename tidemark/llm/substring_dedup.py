@@ -187,7 +187,7 @@ def units(raw: np.ndarray, first: np.ndarray) -> tuple[dict[str, np.ndarray], di
             at = np.flatnonzero(high == grams[: len(high)])
             at = at[at + PASSAGE <= n]
             at = at[text[at] == text[at + PASSAGE - 1]]
-            powers = np.cumprod(np.concatenate([[1], np.full(PASSAGE - 1, BASE, np.uint64)]), dtype=np.uint64)
+            powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(PASSAGE - 1, BASE, np.uint64)]), dtype=np.uint64)
             cluster = np.zeros(len(at), np.uint64)
             for k in range(PASSAGE):
                 cluster += hashes[at + k] * powers[k]
