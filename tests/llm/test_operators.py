@@ -93,20 +93,49 @@ def test_shards_take_turns(spark):
         sharding.fill(names, 1000)
 
 
+def by_sites(rows, min_sites=5):
+    """(id, text) without the lines that are on so many sites; a text that has no others keeps them."""
+    sites, norm = collections.defaultdict(set), lambda line: line.strip(" \t\n\x0b\f\r").lower()
+    for _, text, _, site, *_ in rows:
+        for line in (text or "").split("\n"):
+            sites[norm(line)].add(site)
+    gone = {x for x, s in sites.items() if x and len(s) >= min_sites}
+    out = []
+    for k, text, *_ in rows:
+        lines = (text or "").split("\n")
+        every = all(not norm(x) or norm(x) in gone for x in lines)
+        out.append((k, text if text is None or every else "\n".join(x for x in lines if norm(x) not in gone)))
+    return out
+
+
 def test_boilerplate_goes_and_copies_stay(spark):
     foot = "All rights of this page are reserved by us"
     copy = "\n".join(prose(900 + k, 12) for k in range(6))
     notice = "\n".join(prose(950 + k, 8) for k in range(3))
-    rows = [(i, f"{prose(i, 12)}\n{foot}\n{prose(i + 500, 12)}", None, f"s{i % 9}", None, None, None) for i in range(40)] + [(100 + i, copy, None, f"s{i % 9}", None, None, None) for i in range(60)]
-    # A notice of three lines in different texts, of which one has many copies; near copies that differ in a line each.
+    rows = [(i, f"{prose(i, 12)}\n{foot}\n\n{prose(i + 500, 12)}", None, f"s{i % 9}", None, None, None) for i in range(40)] + [(100 + i, copy, None, f"s{i % 9}", None, None, None) for i in range(60)]
     rows += [(200 + i, f"{prose(i + 700, 40)}\n{notice}", None, f"s{i % 7}", None, None, None) for i in range(14)] + [(300 + i, f"{prose(700, 40)}\n{notice}", None, "s1", None, None, None) for i in range(90)]
-    rows += [(400 + i, "\n".join([prose(800 + i, 12), *copy.split("\n")[1:], prose(1, 12)]), None, f"s{i % 9}", None, None, None) for i in range(30)]
+    # Pages of six shared lines and a few words of their own; a line of five texts, each on a site; four texts on ten sites each; short lines.
+    heavy = "\n".join(prose(970 + k, 10) for k in range(6))
+    rows += [(400 + i, f"{heavy}\n{prose(2000 + i, 8)}", None, f"h{i}", None, None, None) for i in range(60)]
+    rows += [(500 + i, f"{prose(3000 + i, 30)}\nSeen in five texts", None, f"f{i}", None, None, None) for i in range(5)] + [(510 + i, f"{prose(3100 + i, 30)}\nSeen in four texts only", None, f"f{i}", None, None, None) for i in range(4)]
+    rows += [(600 + 10 * i + k, f"{prose(4000 + i, 30)}\nOn ten sites each", None, f"t{k}" if k else None, None, None, None) for i in range(4) for k in range(10)]
+    rows += [(700 + i, f"{prose(5000 + i, 30)}\nSubscribe now\n!\n", None, f"u{i}", None, None, None) for i in range(50)] + [(800, None, None, "x", None, None, None), (801, "\n \n", None, None, None, None, None)]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    assert sorted(zip(out["doc_id"], out["text"].where(out["text"].notna(), None)), key=str) == sorted(by_sites(rows), key=str)
     text = out.set_index("doc_id")["text"]
-    assert not out["text"].str.contains(foot).any()
+    assert not out["text"].str.contains(f"{foot}|Subscribe|Seen in five|^!$", regex=True, na=False).any()
     assert (text[[i for i in text.index if 100 <= i < 200]] == copy).all() and set(out[out["doc_id"] < 100]["_tm_n_removed"]) == {1}
-    assert all(text[200 + i] == prose(i + 700, 40) for i in range(14)) and all(text[300 + i] == prose(700, 40) for i in range(90))
-    assert all(text[k] == t for k, t, *_ in rows if k >= 400)
+    assert all(text[400 + i] == prose(2000 + i, 8) for i in range(60)) and text[510].endswith("only")
+    assert all(text[600 + 10 * i + k] == f"{prose(4000 + i, 30)}\nOn ten sites each" for i in range(4) for k in range(10))  # copies on ten sites have no line of their own
+    few = line_dedup.dedup_lines(spark.createDataFrame(rows, SCHEMA), min_words=4).toPandas().set_index("doc_id")["text"]
+    assert few[700].endswith("Subscribe now\n!\n") and foot not in few[1]
+
+
+@pytest.mark.parametrize("sites", [1, 2, 4, 5, 6, 9, 40])
+def test_sites_are_counted_whatever_the_sketch_says(spark, sites):
+    rows = [(f"s{i}", line, -line, 9) for line in range(400) for i in range(sites)] * 2
+    met = spark.createDataFrame(rows, "_tm_site string, _tm_a long, _tm_b long, n long")
+    assert line_dedup.boilerplate(met).count() == (400 if sites >= 5 else 0)
 
 
 def test_statistics_and_rules(spark):
@@ -402,6 +431,36 @@ def test_packing_query_uses_added_tokens(spark, tmp_path):
     assert {r["doc_id"]: r["n"] for r in lengths} == {1: 5, 2: 1_000_001}
 
 
+@pytest.mark.parametrize("shared", [0, 6, 20, 33, 50, 60])
+def test_passages_are_what_repeats(spark, shared):
+    """Pairs of texts that share so many words in a row: below 34 nothing is linked and nothing lost, from 50 on the pair is linked and only shared words go."""
+    docs, common = [], {}
+    for k in range(30):
+        middle = [f"c{k}x{j}" for j in range(shared)]
+        for half in (0, 1):
+            own = [f"d{k}y{half}z{j}" for j in range(140)]
+            at = 10 + 3 * k
+            docs.append((2 * k + half, " ".join([*own[:at], *middle, *own[at:]])))
+        common[k] = set(middle)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    out = {r["id"]: r for r in substring_dedup.repeat_components(table).collect()}
+    kept = {r["doc_id"]: r["text"].split() for r in substring_dedup.drop_repeats(table).collect()}
+    for i, text in docs:
+        words = text.split()
+        assert out[i]["component_id"] == (i if shared < 34 else i - i % 2) and (out[i]["n_passages"] > 0) == (shared >= 50 and i % 2 == 1)
+        assert [w for w in words if w not in common[i // 2]] == [w for w in kept[i] if w not in common[i // 2]]
+        assert i % 2 == 1 or kept[i] == words
+        if i % 2 and shared >= 50:
+            assert len(kept[i]) <= len(words) - 34
+
+
+def test_many_documents_of_one_short_line_are_no_repeat(spark):
+    line = " ".join(f"w{j}" for j in range(15))
+    docs = [(k, "\n".join([" ".join(f"a{k}b{j}" for j in range(60)), line, " ".join(f"e{k}f{j}" for j in range(60))])) for k in range(20)]
+    out = substring_dedup.repeat_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["id"] and r["n_passages"] == 0 for r in out)
+
+
 def test_shared_lines_inside_articles_go(spark):
     notice, story = "We have moved to a new house", prose(60, 40)
     page = lambda k, text: f"<article><div>Start<ul><li>Archive</ul></div><p>{text}</p><p>Line of {k}</p><p>{notice}</p></article><article class='comment'><p>Me too</p></article>"
@@ -410,8 +469,12 @@ def test_shared_lines_inside_articles_go(spark):
     rows = [(k, f"http://a.x/{k}", page(k, t)) for k, t in own.items()] + [(4, "http://a.x/22", page(2, own[2]))]
     rows += [(5, "http://b.x/1", page(5, story)), (6, "http://b.x/2", page(6, story)), (7, "http://c.x/1", page(7, own[1])), (8, "http://c.x/2", page(8, own[2]))]
     out = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert out[2] == out[4] == f"{own[2]}\n\nLine of 2"
-    assert [out[k] for k in (1, 3, 7, 8)] == [f"{own[t]}\n\nLine of {k}\n\n{notice}" for k, t in ((1, 1), (3, 3), (7, 1), (8, 2))]
+    # What isn't marked as text goes, paragraphs stay however short and whoever has them.
+    assert out[4] == out[2]
+    assert [out[k] for k in (1, 2, 3, 7, 8)] == [f"{own[t]}\n\nLine of {k}\n\n{notice}" for k, t in ((1, 1), (2, 2), (3, 3), (7, 1), (8, 2))]
+    yes = [(k, f"http://e.x/{k}", f"<article><p>{prose(k, 25)}</p><p>Yes.</p><ul><li>Older</ul></article>") for k in range(3)]
+    for r in html_text.extract_text(spark.createDataFrame(yes, "page_id long, url string, html string")).collect():
+        assert r["text"] == f"{prose(r['page_id'], 25)}\n\nYes."
     assert [out[k] for k in (5, 6)] == [f"Start\n\nArchive\n\n{story}\n\nLine of {k}\n\n{notice}" for k in (5, 6)]
     short = lambda k: f"<article><h1>One title</h1><p>One short text</p><p>Line of {k}</p></article>"
     rows = [(k, f"http://d.x/{k}", short(k)) for k in range(3)]

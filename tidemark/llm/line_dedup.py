@@ -1,21 +1,21 @@
 """Line dedup by distinct-site spread.
 
-A line is boilerplate if it stands on at least ``min_sites`` sites in texts that are otherwise their own. Copies
-count once: first equal texts are brought down to one, on the first of their sites. Then lines are counted over the
-distinct texts, and only those in ``min_sites`` texts or more go further; they are few. A text is its own if more than
-``own_share`` of its characters stand in other lines; so a group of near copies, which share most of their lines,
-doesn't make these boilerplate, while a notice of several lines in different texts goes as a whole. The sites of a
-line's own texts are added up in one HyperLogLog sketch for each line hash, which partial aggregation merges before
-anything is shuffled; where an estimate lies near the threshold the line's distinct sites are counted exactly.
+A line is boilerplate if it stands on at least ``min_sites`` sites, in whatever texts and however often: every distinct
+(line, site) counts. Lines are counted first over distinct (text, site) pairs, and only those in ``min_sites`` of them or
+more go further; they are few. The sites of each are added up in one HyperLogLog sketch for each line hash, which partial
+aggregation merges before anything is shuffled; where an estimate lies within six deviations of the threshold the line's
+distinct sites are counted exactly, so with five sites a line is missed with a probability of 4e-9.
 
-Boilerplate lines go from every document; other lines and their order stay. Lines are compared
-trimmed and in lower case, by 128 bits of hash. Lines of fewer than ``min_words`` words always stay.
+Boilerplate lines go from every document; other lines and their order stay. A text all of whose lines with a word would
+go keeps them, so a document that has copies on many sites isn't emptied. Of near copies on many sites, which share most
+of their lines, the text that has only shared lines stays so, and others keep what is their own. Lines are compared
+trimmed and in lower case, by 128 bits of hash. Lines of fewer than ``min_words`` words, 1 by default, always stay.
 
 Lines and texts with more than a thousandth of all rows are joined by broadcast, as there are at most 1000 of each;
 so no copy group and no common line meets in one task.
 
 Nulls and ties: a null text has no lines and stays null; a null site is one site of its own; rows
-with equal texts, whatever their ids, get equal results; a text of which nothing is left is empty.
+with equal texts, whatever their ids, get equal results.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import FREQUENT, SPACE, join_counted, staged
 
-MIN_SITES, MIN_WORDS, OWN_SHARE, ERROR = 5, 4, 1 / 3, 0.1
+MIN_SITES, MIN_WORDS, ERROR, DEVIATIONS = 5, 1, 0.1, 6
 TEXT, LINE = ["_tm_t1", "_tm_t2"], ["_tm_a", "_tm_b"]
 
 
@@ -39,45 +39,42 @@ def text_key(text_col: str) -> list[Column]:
 
 
 def distinct_texts(docs: DataFrame, text_col: str, site_col: str, min_words: int) -> DataFrame:
-    """TEXT, _tm_copies, _tm_site and _tm_lines (position, line hashes, characters of each line of min_words or more) of each text but null."""
+    """TEXT, _tm_site, _tm_copies and _tm_lines (position and line hashes of each line of min_words or more) of each text but null on each of its sites."""
     long_enough = rf"^(?:[^\x20\x09-\x0D]+{SPACE}+){{{min_words - 1}}}[^\x20\x09-\x0D]" if min_words > 1 else "."
     split = F.transform(F.split(text_col, "\n"), normal)
-    lines = F.transform(split, lambda x, i: F.when(x.rlike(long_enough), F.struct(i.alias("_tm_pos"), F.xxhash64(F.lit(1), x).alias(LINE[0]), F.xxhash64(F.lit(2), x).alias(LINE[1]), F.length(x).alias("_tm_chars"))))
+    lines = F.transform(split, lambda x, i: F.when(x.rlike(long_enough), F.struct(i.alias("_tm_pos"), F.xxhash64(F.lit(1), x).alias(LINE[0]), F.xxhash64(F.lit(2), x).alias(LINE[1]))))
     d = docs.where(F.col(text_col).isNotNull()).select(*text_key(text_col), F.coalesce(F.concat(F.lit("+"), F.col(site_col).cast("string")), F.lit("-")).alias("_tm_site"), F.array_compact(lines).alias("_tm_lines"))
-    return d.groupBy(*TEXT).agg(F.count(F.lit(1)).alias("_tm_copies"), F.min("_tm_site").alias("_tm_site"), F.first("_tm_lines").alias("_tm_lines"))
+    return d.groupBy(*TEXT, "_tm_site").agg(F.count(F.lit(1)).alias("_tm_copies"), F.first("_tm_lines").alias("_tm_lines"))
 
 
-def boilerplate(met: DataFrame, own: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
-    """LINE and n (texts) of the lines whose own texts are on min_sites sites or more. met: a row for each frequent line of each text; own: TEXT."""
-    counts = met.select(*TEXT, "_tm_site", *LINE, "n").join(own, TEXT, "left_semi")
-    spread = counts.groupBy(*LINE).agg(F.max("n").alias("n"), F.approx_count_distinct("_tm_site", error).alias("sites"))
-    sure, never = (F.col("sites") > min_sites * (1 + 3 * error)), (F.col("sites") < min_sites * (1 - 3 * error))
+def boilerplate(met: DataFrame, min_sites: int = MIN_SITES, error: float = ERROR) -> DataFrame:
+    """LINE and n of the lines that are on min_sites sites or more. met: a row (_tm_site, LINE, n) for each frequent line of each text and site."""
+    spread = met.groupBy(*LINE).agg(F.max("n").alias("n"), F.approx_count_distinct("_tm_site", error).alias("sites"))
+    sure, never = (F.col("sites") > min_sites * (1 + DEVIATIONS * error)), (F.col("sites") < min_sites * (1 - DEVIATIONS * error))
     spread = staged(spread.where(~never).select(*LINE, "n", sure.alias("sure")))
-    near = join_counted(counts.drop("n"), spread.where("NOT sure"), LINE, met.count())
+    near = join_counted(met.select("_tm_site", *LINE), spread.where("NOT sure"), LINE, met.count())
     exact = near.groupBy(*LINE, "_tm_site").agg(F.max("n").alias("n")).groupBy(*LINE).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites)
     return spread.where("sure").select(*LINE, "n").unionByName(exact.select(*LINE, "n"))
 
 
-def lines_to_remove(texts: DataFrame, min_sites: int, own_share: float) -> DataFrame:
-    """TEXT and _tm_gone (line numbers) of each text with boilerplate."""
-    rows = texts.select(*TEXT, "_tm_site", F.inline("_tm_lines"))
+def lines_to_remove(texts: DataFrame, min_sites: int) -> DataFrame:
+    """TEXT and _tm_gone (line numbers) of each text with boilerplate and other lines."""
+    rows = texts.select(*TEXT, "_tm_site", F.size("_tm_lines").alias("_tm_size"), F.inline("_tm_lines"))
     every = F.array_distinct(F.transform("_tm_lines", lambda x: F.struct(*[x[c] for c in LINE])))
     counted = texts.select(F.inline(every)).groupBy(*LINE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
     total = texts.agg(F.coalesce(F.sum(F.size("_tm_lines")), F.lit(0))).first()[0]
     met = staged(join_counted(rows, staged(counted), LINE, total))
-    shared = met.groupBy(*TEXT).agg(F.sum("_tm_chars").alias("_tm_shared"))
-    chars = F.aggregate("_tm_lines", F.lit(0).cast("long"), lambda n, x: n + x["_tm_chars"])
-    own = texts.select(*TEXT, chars.alias("_tm_all")).join(shared, TEXT).where(F.col("_tm_all") - F.col("_tm_shared") > own_share * F.col("_tm_all")).select(*TEXT)
-    gone = join_counted(met.select(*TEXT, "_tm_pos", *LINE), staged(boilerplate(met, own, min_sites)), LINE, met.count())
-    return gone.groupBy(*TEXT).agg(F.collect_list("_tm_pos").alias("_tm_gone"))
+    gone = join_counted(met.select(*TEXT, "_tm_size", "_tm_pos", *LINE), staged(boilerplate(met, min_sites)), LINE, met.count())
+    by_text = gone.groupBy(*TEXT).agg(F.collect_set("_tm_pos").alias("_tm_gone"), F.max("_tm_size").alias("_tm_size"))
+    return by_text.where(F.size("_tm_gone") < F.col("_tm_size")).drop("_tm_size")
 
 
-def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, own_share: float = OWN_SHARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with boilerplate lines cut from the text, and _tm_n_lines, _tm_n_removed."""
     texts = staged(distinct_texts(docs, text_col, site_col, min_words))
-    gone = staged(lines_to_remove(texts, min_sites, own_share))
+    gone = staged(lines_to_remove(texts, min_sites))
     rows = texts.agg(F.coalesce(F.sum("_tm_copies"), F.lit(0))).first()[0]
-    hot = texts.where(F.col("_tm_copies") > FREQUENT * rows).select(*TEXT)
+    hot = texts.groupBy(*TEXT).agg(F.sum("_tm_copies").alias("n")).where(F.col("n") > FREQUENT * rows).select(*TEXT)
     of_hot = hot.join(gone, TEXT, "left").select(*TEXT, F.coalesce("_tm_gone", F.array().cast("array<int>")).alias("_tm_hot"))
     keyed = docs.select("*", *text_key(text_col)).join(F.broadcast(of_hot), TEXT, "left")  # at most 1 / FREQUENT rows
     # What is settled or null gets a key of its own, so that it meets no other row; no text has zero as its second hash.

@@ -137,15 +137,11 @@ u AS (SELECT *, [greatest(0, least(size, stop - start)), greatest(0, least(size,
 SELECT doc_id, size, source_size, target, list_sum(used)::BIGINT AS taken,
   CASE WHEN list_sum(used) > 0 THEN round(2 * (start / target) / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (start / target), 0))), 6) END AS position, len(list_filter(used, lambda x: x > 0))::BIGINT AS n_uses FROM u""",
     "op3_line_dedup": r"""
-WITH t AS (SELECT text, min(coalesce('+' || source, '-')) AS site FROM documents WHERE text IS NOT NULL GROUP BY text),
-l AS (SELECT text, site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+WITH l AS (SELECT doc_id, text, coalesce('+' || source, '-') AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 n AS (SELECT *, lower(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS norm FROM l),
-c AS (SELECT *, regexp_matches(norm, '^(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){3}[^\x20\x09-\x0D]') AS ok FROM n),
-m AS (SELECT norm FROM c WHERE ok GROUP BY norm HAVING count(DISTINCT text) >= 5),
-s AS (SELECT c.text, site, c.norm, m.norm IS NOT NULL AS frequent FROM c LEFT JOIN m ON c.norm = m.norm WHERE ok),
-o AS (SELECT text FROM s GROUP BY text HAVING sum(CASE WHEN frequent THEN 0 ELSE length(norm) END) > 1.0::DOUBLE / 3 * sum(length(norm))),
-b AS (SELECT norm FROM s JOIN o ON s.text = o.text WHERE frequent GROUP BY norm HAVING count(DISTINCT site) >= 5),
-f AS (SELECT c.*, ok AND b.norm IS NOT NULL AS gone FROM c LEFT JOIN b ON c.norm = b.norm)
-SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text FROM documents d
-LEFT JOIN (SELECT text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM f GROUP BY text) k ON d.text = k.text""",
+b AS (SELECT norm FROM n WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT site) >= 5),
+t AS (SELECT DISTINCT text, i, line, norm FROM n),
+f AS (SELECT t.*, b.norm IS NOT NULL AS spread, bool_and(b.norm IS NOT NULL OR t.norm = '') OVER (PARTITION BY t.text) AS every FROM t LEFT JOIN b ON t.norm = b.norm),
+k AS (SELECT text, count(*) AS n_lines, count(*) FILTER (WHERE spread AND NOT every) AS n_removed, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE every OR NOT spread) AS kept FROM f GROUP BY text)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text FROM documents d LEFT JOIN k ON d.text = k.text""",
 }
