@@ -5,13 +5,14 @@ after it whose lines are not its own, the one whose path shares the longer prefi
 lines of both, the frame's too, are aligned by longest common subsequence, and lines that align are the site's
 frame and go. The result is the same however the rows are dealt: pages are parsed twice, first for a digest of
 their lines only, from which the bounds of the ranges are taken, and the pages that stand next to a bound are also
-sent to the range beside. What the driver holds of this is a few keys for each range of about per_task pages.
+sent to the range beside. What the driver holds of this is a few keys for each range; there are at most MOST_RANGES,
+however many pages, as a range is walked page by page and may be of any size.
 
 Differencing alone can't tell a paragraph that two articles share from a menu that two pages share, nor an advert
 that only one page has. So the mark-up has a say on the rest: what it names as frame (navigation, page headers,
 footers, asides, forms, adverts, notices, reader comments) goes even if no neighbour has it, and if a page has an
 article (or main), the rest of the page is frame. Inside an article a line that aligns stays if the mark-up calls
-it text (a paragraph, heading or table row), unless it aligns with both neighbours and has fewer than LONG words.
+it text (a paragraph, heading or table row), however short it is and however many neighbours have it.
 A neighbour that shares the article's h1 or a line of LONG words or more in it tells the same story; the lines it
 shares say nothing about the frame, so only the other neighbour counts, if any.
 An element of the frame ends with its own end tag; without one, before the next block that is no list
@@ -60,8 +61,10 @@ HEADER_WORDS = frozenset(("header",))
 SPACES = re.compile(r"[\s_-]+")
 #: Elements whose end tag may be missing: the next of their kind ends them, or a block, or their parent.
 LOOSE = frozenset(("p", "li", "dt", "dd", "tr", "td", "th"))
-#: An article's line of so many words is a paragraph, not frame, if a neighbour has it.
+#: Pages tell the same story if they share an article's line of so many words.
 LONG = 20
+#: So the driver never holds more than four keys for each of these.
+MOST_RANGES = 20_000
 #: Tables of so many cells are kept whole.
 SMALL = 1 << 22
 #: Blocks whose lines are text by their mark-up.
@@ -278,8 +281,7 @@ def main_text(own: Page, *partners: Page) -> tuple[str, int, int]:
     if has_article:
         shared = [c for c in shared if not any(lines[i][1] == TITLE or lines[i][1] > OUTSIDE and len(lines[i][0].split()) >= LONG for i in c)]
     near = shared[0] if shared else set()
-    both = near & shared[1] if len(shared) > 1 else set()
-    gone = {k for k, (_, place) in enumerate(lines) if k in (both if place == TEXT else near) and place != TITLE}
+    gone = {k for k in near if lines[k][1] not in (TEXT, TITLE)}
     named = {k for k, (_, place) in enumerate(lines) if k not in gone and (place == FRAME or place == OUTSIDE and has_article)}
     return "\n\n".join(x for k, (x, _) in enumerate(lines) if k not in gone and k not in named), len(gone), len(named)
 
@@ -321,22 +323,23 @@ def bounds_and_halos(keys: DataFrame, ranges: int) -> tuple[list[tuple], dict[tu
     parts = sorted(found.values(), key=lambda x: x["first0"][0])
     halos: dict[tuple, list[int]] = {}
 
-    def look(k: int, edge: str, others: str, step: int) -> None:
-        (host, *_), lines = parts[k][edge]
-        q = k + step
-        while 0 <= q < len(parts) and parts[q][f"{others}0"][0][0] == host:
-            for x in (f"{others}0", f"{others}1"):
-                key, theirs = parts[q].get(x, (None, lines))
-                if key and key[0] != host:
-                    return
-                if theirs != lines:
-                    halos.setdefault(key, []).append(k)
-                    return
-            q += step
-
-    for k in range(len(parts)):
-        look(k, "first0", "last", -1)
-        look(k, "last0", "first", 1)
+    def look(order: range, edge: str, others: str) -> None:
+        """For each range, in order, the nearest page behind its edge that is of the edge's host and has other lines. A range that is one run like the edge's passes on what it found itself."""
+        found: tuple | None = None
+        for k, q in zip(order[1:], order):
+            (host, *_), lines = parts[k][edge]
+            last, second = parts[q][f"{others}0"], parts[q].get(f"{others}1")
+            if last[0][0] != host:
+                found = None
+            elif last[1] != lines:
+                found = last[0]
+            elif second:
+                found = second[0] if second[0][0] == host else None
+            if found:
+                halos.setdefault(found, []).append(k)
+
+    look(range(len(parts)), "first0", "last")
+    look(range(len(parts))[::-1], "last0", "first")
     return [p["first0"][0] for p in parts], halos
 
 
@@ -384,7 +387,7 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     html_ = F.coalesce(F.col(html_col), F.lit(""))
     cut = pages.select(name.alias("id"), F.col(url_col).alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html_).alias("html_hash"), html_.alias("html"))
     keys = staged(cut.select(*ORDER, "html").mapInPandas(digests, f"{KEY}, lines_hash long"))
-    n = spread(spark, keys.count(), per_task)
+    n = min(spread(spark, keys.count(), per_task), MOST_RANGES)
     bounds, halos = bounds_and_halos(keys, n)
 
     @F.pandas_udf(ArrayType(IntegerType()))
