@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without boilerplate lines. A null text stays null, one of which nothing is left is empty; rows of equal texts get equal texts."""
+    """All documents, without boilerplate lines. A null text stays null, one that has no other lines keeps them; rows of equal texts get equal texts."""
     return line_dedup.dedup_lines(docs).select(*docs.columns)
 
 
