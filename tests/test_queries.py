@@ -34,6 +34,11 @@ def test_same_as_sql(spark, db, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_assignments_are_partial_matchings_and_no_dearer_than_greedy(spark):
+def test_optimal_assignments_cost_no_more_than_greedy_ones(spark):
+    costs = registry.QUERIES["assignment_costs"](spark, SF).toPandas()
+    assert len(costs) and (costs["cost"] <= costs["greedy_cost"] + 1e-6).all() and (costs["n_assigned"] <= costs[["n_tracks", "n_plots"]].min(axis=1)).all()
+
+
+def test_assignments_are_partial_matchings(spark):
     best = registry.QUERIES["global_assign"](spark, SF).toPandas()
     assert not best.duplicated(["frame_idx", "track_id"]).any() and not best.duplicated(["frame_idx", "meas_id"]).any()

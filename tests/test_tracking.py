@@ -129,3 +129,127 @@ def test_contacts_turn_dark_by_timer(spark, tmp_path):
     out = run()
     assert out[2, 3]["kind"] == "resume" and out[2, 3]["x"] == 3.0 and not out[2, 3]["dark"]
     spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+FRAMES = "frame_idx long, track_id long, meas_id long, cost double"
+
+
+def small_frames(seed):
+    """Pairs of frames of up to five tracks and plots in up to three groups, with repeated costs, and each frame's numbers of tracks and plots."""
+    rng = np.random.default_rng(seed)
+    pairs, sizes = [], []
+    for f in range(25):
+        n, m = (int(v) for v in rng.integers(0, 5, 2))
+        sizes.append((f, n, m))
+        for i in range(n):
+            for j in range(m):
+                if rng.random() < 0.5 and (i < 2) == (j < 2):
+                    pairs.append((f, 10 + i, 100 + j, float(rng.choice([4.0, 9.5, round(float(rng.normal(12, 5)), 3)]))))
+    return pairs, sizes
+
+
+def frame_tables(spark, pairs, sizes):
+    side = lambda k, at, name: spark.createDataFrame([(f, at + i) for f, *n in sizes for i in range(n[k])], f"frame_idx long, {name} long")
+    return spark.createDataFrame(pairs, FRAMES), side(0, 10, "track_id"), side(1, 100, "meas_id")
+
+
+def optima(n, m, cost):
+    """(cost, pairs) of every partial matching, the cheapest first."""
+    out = []
+    for k in range(min(n, m) + 1):
+        for ts in itertools.combinations(range(n), k):
+            for ms in itertools.permutations(range(m), k):
+                if all((10 + t, 100 + j) in cost for t, j in zip(ts, ms)):
+                    chosen = [(10 + t, 100 + j) for t, j in zip(ts, ms)]
+                    out.append((sum(cost[p] for p in chosen) + tracking.MISS * (n - k) + tracking.BIRTH * (m - k), chosen))
+    return sorted(out, key=lambda x: (x[0], len(x[1])))
+
+
+def test_assignments_by_group_against_all_matchings(spark):
+    pairs, sizes = small_frames(3)
+    table, tracks, plots = frame_tables(spark, pairs, sizes)
+    costs = {f: {(t, m): c for g, t, m, c in pairs if g == f} for f, *_ in sizes}
+    best, greedy = tracking.assign(table), tracking.assign_greedily(table)
+    total = {r["frame_idx"]: r for r in tracking.total_costs(best, tracks, plots).collect()}
+    chosen, first_come = ([(r["frame_idx"], r["track_id"], r["meas_id"]) for r in d.collect()] for d in (best, greedy))
+    margin = {r["frame_idx"]: r for r in tracking.margins(table, tracks, plots).collect()}
+    for f, n, m in sizes:
+        if not n + m:
+            assert f not in total and f not in margin
+            continue
+        own = [(t, j) for g, t, j in chosen if g == f]
+        assert len({t for t, _ in own}) == len({j for _, j in own}) == len(own)
+        least, *_ = optima(n, m, costs[f])
+        assert total[f]["cost"] == pytest.approx(least[0]) and (total[f]["n_tracks"], total[f]["n_plots"], total[f]["n_assigned"]) == (n, m, len(own))
+        used, want = set(), set()
+        for c, t, j in sorted((c, t, j) for (t, j), c in costs[f].items()):
+            if t not in used and j not in used:
+                used |= {t, j}
+                want.add((t, j))
+        assert {(t, j) for g, t, j in first_come if g == f} == want
+        if not own:
+            assert (margin[f]["margin"], margin[f]["ambiguous"], margin[f]["w_best"], margin[f]["w_second"]) == (math.inf, False, 1.0, 0.0)
+            continue
+        pivot = min((costs[f][p], *p) for p in own)[1:]
+        second = optima(n, m, {p: c for p, c in costs[f].items() if p != pivot})[0][0]
+        assert (margin[f]["cost_best"], margin[f]["cost_second"]) == (pytest.approx(least[0]), pytest.approx(second))
+        assert margin[f]["ambiguous"] == (second - least[0] < 2.0) and margin[f]["w_second"] == pytest.approx(math.exp(least[0] - second) / (1 + math.exp(least[0] - second)))
+    empty = table.limit(0)
+    assert tracking.assign(empty).count() == tracking.assign_greedily(empty).count() == 0
+
+
+def test_greedy_is_dearer_where_paths_cross(spark):
+    table = spark.createDataFrame([(0, 1, 1, 1.0), (0, 1, 2, 2.0), (0, 2, 1, 2.0), (0, 2, 2, 12.0)], FRAMES)
+    assert sum(r["cost"] for r in tracking.assign(table).collect()) == 4.0 and sum(r["cost"] for r in tracking.assign_greedily(table).collect()) == 13.0
+
+
+def test_groups_are_those_of_links(spark):
+    from tidemark.operators.groups import connected
+
+    rng = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(60)] + [(2000, 2001 + k) for k in range(80)]
+    root = {x: x for p in links for x in p}
+    for _ in range(len(root)):
+        before = dict(root)
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    table = spark.createDataFrame([((0, a), (0, b)) for a, b in links], "a struct<f:int,id:int>, b struct<f:int,id:int>")
+    got = [(r["node"]["id"], r["root"]["id"]) for r in connected(table).collect()]
+    assert sorted(got) == sorted((x, y) for x, y in root.items() if any(x in p and p[0] != p[1] for p in links))
+
+
+def test_lifecycle_against_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, f, bool(rng.random() < (0.2, 0.5, 0.8, 0.97)[k % 4]), float(rng.uniform(0, 9)), 8.0) for k in range(60) for f in range(int(rng.integers(1, 45)))]
+    got = {(r["track_id"], r["frame_idx"]): r for r in tracking.lifecycles(spark.createDataFrame(rows, "track_id long, frame_idx long, hit boolean, d2 double, logdet double")).collect()}
+    seen = set()
+    for k, mine in itertools.groupby(rows, key=lambda r: r[0]):
+        status, last, misses, score = "tentative", [], 0, 0.0
+        for _, f, hit, d2, logdet in mine:
+            if status != "dead":
+                last, misses = [*last[-4:], hit], 0 if hit else misses + 1
+                score += math.log(tracking.PD / tracking.BETA) - 0.5 * d2 - tracking.LOG_2PI - 0.5 * logdet if hit else math.log(1 - tracking.PD)
+                if misses >= 10 or score < -20:
+                    status = "dead"
+                elif hit and (status == "coasting" or status == "tentative" and sum(last) >= 3):
+                    status = "confirmed"
+                elif status == "confirmed" and misses >= 2:
+                    status = "coasting"
+            seen.add(status)
+            r = got[k, f]
+            assert (r["status"], r["misses"], r["llr"]) == (status, misses, pytest.approx(score))
+    assert seen == {"tentative", "confirmed", "coasting", "dead"}
+
+
+def test_turns_that_cannot_be_are_missing(spark):
+    from pyspark.sql import functions as F
+    from tidemark.operators import forecast
+
+    rows = [(0, 127.0, None), (1, -20.0, None), (2, 20.5, 1.0), (3, float("nan"), None), (4, 20.0, 0.5), (5, None, 90.0)]
+    d = spark.createDataFrame(rows, "k int, turn double, past double")
+    no = F.lit(None).cast("double")
+    nav = forecast.navigation(no, no, no, F.col("turn"), F.lit(0), no, no, F.col("past"), F.lit(5), F.lit(0.0))
+    out = {r["k"]: r for r in d.select("k", nav["turn"].alias("turn"), F.array_contains(nav["missing"], "rate_of_turn").alias("missing")).collect()}
+    assert [(out[k]["turn"], out[k]["missing"]) for k in range(6)] == [(0.0, True), (-1.5, False), (1.0, False), (0.0, True), (1.5, False), (1.5, False)]

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys that are never checked, as what they ask for doesn't exist, and one that is no expectation.
-NOT_BUILT = ("spoof_detected", "retraction_cascade", "ofac_hit", "ofac_hit_mmsi", "ofac_hit_name", "relink_same_track", "severity_escalates_on_relink")
+#: Fixed value: a key that is no expectation.
 REMARK = "notes"
 #: Fixed value: share by which an offset may miss what is expected.
 OFFSET_TOLERANCE = 0.2

@@ -54,10 +54,26 @@ def regions(points: DataFrame, key: str = "mmsi", levels: tuple[int, ...] = LEVE
     return d.groupBy(key, "level").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"), F.first("cx").alias("cx"), F.first("cy").alias("cy"))
 
 
-#: Speed without any knowledge, share of the history's course and the turn up to which it counts, shares of reported and past turns, the largest turn, statuses that hold a contact and the speed they leave.
-UNKNOWN_SPEED, COURSE_SHARE, COURSE_REACH, TURN_SHARES, MOST_TURN, HELD, HELD_BELOW, HELD_SPEED = 5.0, 0.2, 45.0, (0.7, 0.3), 1.5, (1, 5, 6), 3.0, 0.5
-#: Spread of heading and speed, and what each missing input and a holding status add.
-HEADING_SPREAD, SPEED_SPREAD, SPEED_SHARE, MISSING_SPEED, HELD_HEADING = 4.0, 0.35, 0.1, 0.3, 8.0
+#: Speed (knots) without any knowledge.
+UNKNOWN_SPEED = 5.0
+#: The history's course counts with this share, if it is no further off than this.
+COURSE_SHARE = 0.2
+COURSE_REACH = 45.0
+#: Reported turns (degrees a minute) beyond this aren't possible; shares of the reported and the past turn; the largest that a forecast takes.
+POSSIBLE_TURN = 20.0
+REPORTED_TURN = 0.7
+PAST_TURN = 0.3
+MOST_TURN = 1.5
+#: Statuses that hold a contact, the speed below which they do and what they leave of it.
+HELD = (1, 5, 6)
+HELD_BELOW = 3.0
+HELD_SPEED = 0.5
+#: Spread of the heading, what a holding status adds to it; spread of the speed, its share of the speed, and what each missing input adds.
+HEADING_SPREAD = 4.0
+HELD_HEADING = 8.0
+SPEED_SPREAD = 0.35
+SPEED_SHARE = 0.1
+MISSING_SPEED = 0.3
 
 
 def navigation(course: Column, heading: Column, speed: Column, turn: Column, status: Column, past_course: Column, past_speed: Column, past_turn: Column, n_points: Column, silent_min: Column) -> dict[str, Column]:
@@ -66,15 +82,16 @@ def navigation(course: Column, heading: Column, speed: Column, turn: Column, sta
     What was reported counts if it is possible, then what the history says; the bearing leans to the history's course where they agree.
     """
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    possible = lambda c: F.when(c.between(-POSSIBLE_TURN, POSSIBLE_TURN), c)  # NaN is above all
     in_range = lambda c, top: F.when(~F.isnan(c) & (c >= 0) & (c < top), c)
-    course, heading, speed, past_speed, turn, past_turn = in_range(course, 360), in_range(heading, 360), in_range(speed, 50), in_range(past_speed, 50), finite(turn), finite(past_turn)
+    course, heading, speed, past_speed, turn, past_turn = in_range(course, 360), in_range(heading, 360), in_range(speed, 50), in_range(past_speed, 50), possible(turn), finite(past_turn)
     told = F.coalesce(course, heading)
     off = geo.angle_delta(past_course, told)
     bearing = F.coalesce(F.when(F.abs(off) <= COURSE_REACH, F.pmod(told + off * COURSE_SHARE, F.lit(360.0))), told, past_course, F.lit(0.0))
     held = F.coalesce(status.isin(*HELD), F.lit(False))
     knots = F.coalesce(speed, past_speed, F.lit(UNKNOWN_SPEED))
     knots = F.when(held & (knots < HELD_BELOW), F.least(knots, F.lit(HELD_SPEED))).otherwise(knots)
-    turning = F.coalesce(turn * TURN_SHARES[0] + past_turn * TURN_SHARES[1], turn, past_turn, F.lit(0.0))
+    turning = F.coalesce(turn * REPORTED_TURN + past_turn * PAST_TURN, turn, past_turn, F.lit(0.0))
     known = {"course_over_ground": course, "true_heading": heading, "speed_over_ground": speed, "rate_of_turn": F.coalesce(turn, past_turn), "track_history": F.when(n_points >= 3, 1)}
     missing = F.array_compact(F.array(*[F.when(c.isNull(), name) for name, c in known.items()]))
     n = F.size(missing)

@@ -1,7 +1,8 @@
 """Filters, gating, assignment, lifecycle and re-attribution of tracks.
 
-What is a formula over pairs or rows is a Column expression; a frame's optimal assignment and the
-frame-by-frame replay of a mission are sequential and run per group, over Arrow.
+What is a formula over pairs or rows is a Column expression or a window. The optimal assignment is solved over Arrow
+for each connected group of a frame's gated pairs, so no task holds a frame; the frame-by-frame replay of a mission
+is sequential and runs per mission.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.cells import in_cells
+from tidemark.operators.groups import connected
+from tidemark.operators.staging import staged
 
 GATE, PD, BETA = 9.21034, 0.9, 1e-6
 MISS, BIRTH = -math.log(1 - PD), -math.log(BETA)
@@ -31,12 +34,14 @@ def candidates(tracks: DataFrame, plots: DataFrame, gate: float = GATE) -> DataF
     """Per frame, every track (frame_idx, track_id, px, py, p00, p01, p11) with every plot (frame_idx, meas_id, x, y, sigma) inside the gate; adds dx, dy, the sum's covariance a, b, c and d2.
 
     A track is dealt to the cells that its own gate's box touches, whatever its covariance, so no gated pair is lost.
+    Plots are told apart by powers of two of their sigma, so one wide plot widens no track's box for the others.
     """
-    most = plots.groupBy("frame_idx").agg(F.max(F.col("sigma") * F.col("sigma")).alias("most"))
+    plots = plots.withColumn("_wide", F.ceil(F.log2(F.greatest("sigma", F.lit(1e-3)))).cast("int"))
+    most = plots.groupBy("frame_idx", "_wide").agg(F.max(F.col("sigma") * F.col("sigma")).alias("most"))
     wide = lambda p: F.sqrt(gate * (F.col(p) + F.col("most")))
     t = tracks.join(most, "frame_idx").withColumn("rx", wide("p00")).withColumn("ry", wide("p11")).drop("most")
     low, high = [tuple(F.col(c) + sign * F.col(r) for c, r in (("px", "rx"), ("py", "ry"))) for sign in (-1, 1)]
-    pairs = in_cells(t, plots, ["frame_idx"], low, high, (F.col("x"), F.col("y"))).drop("rx", "ry")
+    pairs = in_cells(t, plots, ["frame_idx", "_wide"], low, high, (F.col("x"), F.col("y"))).drop("rx", "ry", "_wide")
     r = F.col("sigma") * F.col("sigma")
     pairs = pairs.withColumns({"dx": F.col("x") - F.col("px"), "dy": F.col("y") - F.col("py"), "a": F.col("p00") + r, "b": F.col("p01"), "c": F.col("p11") + r})
     d2, _ = distance2(*[F.col(k) for k in ("dx", "dy", "a", "b", "c")])
@@ -121,54 +126,93 @@ def solve(n: int, m: int, ti: np.ndarray, mi: np.ndarray, cost: np.ndarray, miss
     return sorted(out)
 
 
-def assign_frame(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
-    t, m = pairs["track_id"].unique(), pairs["meas_id"].unique()
-    ti, mi = pd.Index(t).get_indexer(pairs["track_id"]), pd.Index(m).get_indexer(pairs["meas_id"])
+def in_groups(pairs: DataFrame) -> DataFrame:
+    """The pairs (frame_idx, track_id, meas_id, cost) that are cheaper than a miss and a birth, with the group they belong to: its least track. Others are in no optimum."""
+    worth = staged(pairs.select("frame_idx", "track_id", "meas_id", "cost").where(F.col("cost") < MISS + BIRTH))
+    node = lambda side, c: F.struct(F.col("frame_idx"), F.lit(side).alias("side"), F.col(c).alias("id"))
+    roots = connected(worth.select(node(1, "meas_id").alias("a"), node(0, "track_id").alias("b"))).where("node.side = 0")
+    return worth.join(roots.select("node.frame_idx", F.col("node.id").alias("track_id"), F.col("root.id").alias("group")), ["frame_idx", "track_id"])
+
+
+def solved(pairs: pd.DataFrame) -> tuple[pd.DataFrame, float]:
+    """The optimum's pairs and what they save."""
+    (t, ti), (m, mi) = (np.unique(pairs[c], return_inverse=True) for c in ("track_id", "meas_id"))
     chosen = solve(len(t), len(m), ti, mi, pairs["cost"].to_numpy())
-    at = {(i, j): c for i, j, c in zip(ti.tolist(), mi.tolist(), pairs["cost"], strict=True)}
-    return pd.DataFrame({"frame_idx": key[0], "track_id": [t[i] for i, _ in chosen], "meas_id": [m[j] for _, j in chosen], "cost": [at[p] for p in chosen]})
+    rows = pd.DataFrame([(t[i], m[j]) for i, j in chosen], columns=["track_id", "meas_id"]).merge(pairs, on=["track_id", "meas_id"])
+    return rows, float((rows["cost"] - MISS - BIRTH).sum())
 
 
 ASSIGNED = "frame_idx long, track_id long, meas_id long, cost double"
 
 
 def assign(pairs: DataFrame) -> DataFrame:
-    """Optimal assignment of each frame. Frames are independent, so they run in parallel."""
-    return pairs.select("frame_idx", "track_id", "meas_id", "cost").groupBy("frame_idx").applyInPandas(assign_frame, ASSIGNED)
+    """Optimal assignment of each frame, as the optima of its connected groups. A pair comes once in pairs."""
+    best = lambda rows: solved(rows)[0][["frame_idx", "track_id", "meas_id", "cost"]]
+    return in_groups(pairs).groupBy("frame_idx", "group").applyInPandas(best, ASSIGNED)
+
+
+def assign_greedily(pairs: DataFrame) -> DataFrame:
+    """Best-first assignment by (cost, track_id, meas_id): rounds of pairs that are the best of both their sides, until none is left.
 
+    A pair that is the best of both is committed before anything that could take its sides, so the rounds come to what
+    one sorted pass over a frame comes to. Each round takes at least the best pair of every frame that is left.
+    """
+    left, taken = staged(pairs.select("frame_idx", "track_id", "meas_id", "cost")), []
+    while not left.isEmpty():
+        taken.append(staged(mutual_best(left)))
+        left = staged(left_of(left, taken[-1]))
+    out = left
+    for rows in taken:
+        out = out.unionByName(rows)
+    return out
 
-def greedy_frame(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
-    used_t, used_m, out = set(), set(), []
-    for p in pairs.sort_values(["cost", "track_id", "meas_id"]).itertuples():
-        if p.track_id not in used_t and p.meas_id not in used_m:
-            used_t.add(p.track_id)
-            used_m.add(p.meas_id)
-            out.append((key[0], p.track_id, p.meas_id, p.cost))
-    return pd.DataFrame(out, columns=["frame_idx", "track_id", "meas_id", "cost"])
 
+def left_of(pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pairs neither of whose sides is taken."""
+    for side in ("track_id", "meas_id"):
+        pairs = pairs.join(chosen.select("frame_idx", side), ["frame_idx", side], "left_anti")
+    return pairs
 
-def assign_greedily(pairs: DataFrame) -> DataFrame:
-    return pairs.select("frame_idx", "track_id", "meas_id", "cost").groupBy("frame_idx").applyInPandas(greedy_frame, ASSIGNED)
 
+def total_costs(chosen: DataFrame, tracks: DataFrame, plots: DataFrame) -> DataFrame:
+    """frame_idx, cost, n_assigned, n_tracks, n_plots: costs of the chosen pairs, of a miss for each other track and a birth for each other plot."""
+    count = lambda rows, name: rows.groupBy("frame_idx").agg(F.count(F.lit(1)).alias(name))
+    made = chosen.groupBy("frame_idx").agg(F.sum("cost").alias("made"), F.count(F.lit(1)).alias("n_assigned"))
+    d = count(tracks, "n_tracks").join(count(plots, "n_plots"), "frame_idx", "full").join(made, "frame_idx", "left").na.fill(0)
+    cost = F.col("made") + MISS * (F.col("n_tracks") - F.col("n_assigned")) + BIRTH * (F.col("n_plots") - F.col("n_assigned"))
+    return d.select("frame_idx", cost.alias("cost"), "n_assigned", "n_tracks", "n_plots")
 
-def margins(pairs: DataFrame) -> DataFrame:
-    """frame_idx, cost_best, cost_second, margin, ambiguous: how much the optimum costs more without its cheapest pair."""
+
+#: Fixed value: a frame whose second best assignment is nearer than this is ambiguous.
+AMBIGUOUS = 2.0
+
+
+def margins(pairs: DataFrame, tracks: DataFrame, plots: DataFrame) -> DataFrame:
+    """frame_idx, cost_best, cost_second, margin, ambiguous, w_best, w_second: how much the optimum costs more without its cheapest pair.
+
+    Only the group of that pair changes, so each group is solved with and without its own cheapest pair and the frame takes
+    the difference of the one that has the cheapest of all (ties by track and plot). Weights are the softmax of the negative
+    costs. A frame without any assignment has an infinite margin and the weights 1 and 0.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        t, m = rows["track_id"].unique(), rows["meas_id"].unique()
-        ti, mi, cost = pd.Index(t).get_indexer(rows["track_id"]), pd.Index(m).get_indexer(rows["meas_id"]), rows["cost"].to_numpy()
-        at = {(i, j): c for i, j, c in zip(ti.tolist(), mi.tolist(), cost, strict=True)}
-        total = lambda x: sum(at[p] for p in x) + MISS * (len(t) - len(x)) + BIRTH * (len(m) - len(x))
-        best = solve(len(t), len(m), ti, mi, cost)
-        if not best:
-            return pd.DataFrame({"frame_idx": [key[0]], "cost_best": [total(best)], "cost_second": [None], "margin": [None], "ambiguous": [False]})
-        i, j = min(best, key=lambda p: at[p])
-        keep = ~((ti == i) & (mi == j))
-        second = total(solve(len(t), len(m), ti[keep], mi[keep], cost[keep]))
-        margin = max(0.0, second - total(best))
-        return pd.DataFrame({"frame_idx": [key[0]], "cost_best": [total(best)], "cost_second": [second], "margin": [margin], "ambiguous": [margin < 2.0]})
-
-    return pairs.select("frame_idx", "track_id", "meas_id", "cost").groupBy("frame_idx").applyInPandas(run, "frame_idx long, cost_best double, cost_second double, margin double, ambiguous boolean")
+        best, saved = solved(rows)
+        if best.empty:
+            return pd.DataFrame([], columns=["frame_idx", "cost", "track_id", "meas_id", "n", "made", "more"])
+        pivot = best.sort_values(["cost", "track_id", "meas_id"]).iloc[0]
+        again = rows[(rows["track_id"] != pivot["track_id"]) | (rows["meas_id"] != pivot["meas_id"])]
+        more = (solved(again)[1] if len(again) else 0.0) - saved
+        return pd.DataFrame([(key[0], pivot["cost"], int(pivot["track_id"]), int(pivot["meas_id"]), len(best), best["cost"].sum(), more)], columns=["frame_idx", "cost", "track_id", "meas_id", "n", "made", "more"])
+
+    found = in_groups(pairs).groupBy("frame_idx", "group").applyInPandas(run, "frame_idx long, cost double, track_id long, meas_id long, n long, made double, more double")
+    by_frame = found.groupBy("frame_idx").agg(F.sum("made").alias("cost"), F.sum("n").alias("n"), F.min(F.struct("cost", "track_id", "meas_id", "more")).alias("pivot"))
+    count = lambda rows, name: rows.groupBy("frame_idx").agg(F.count(F.lit(1)).alias(name))
+    d = count(tracks, "n_tracks").join(count(plots, "n_plots"), "frame_idx", "full").join(by_frame, "frame_idx", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0))
+    d = d.withColumn("cost_best", none("cost") + MISS * (none("n_tracks") - none("n")) + BIRTH * (none("n_plots") - none("n")))
+    more = F.when(F.col("pivot").isNull(), float("inf")).otherwise(F.greatest(F.col("pivot.more"), F.lit(0.0)))
+    d = d.withColumns({"margin": more, "cost_second": F.col("cost_best") + more, "ambiguous": more < AMBIGUOUS, "w_best": 1 / (1 + F.exp(-more))})
+    return d.select("frame_idx", "cost_best", "cost_second", "margin", "ambiguous", "w_best", (1 - F.col("w_best")).alias("w_second"))
 
 
 def filtered(points: DataFrame, q: float = 0.5) -> DataFrame:
@@ -228,24 +272,27 @@ def reattributed(candidates: DataFrame, beta: float = 1e-9) -> DataFrame:
     return d.withColumn("p", F.coalesce(mass / (F.sum(mass).over(w) + F.exp(math.log(beta) - F.col("top"))), F.lit(0.0))).drop("ll", "top")
 
 
-def lifecycle(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Status of a track after each frame: tentative, confirmed at 3 hits in 5, coasting after 2 misses, dead after 10 or below the floor."""
-    rows, status, history, misses, llr, out = rows.sort_values("frame_idx"), "tentative", [], 0, 0.0, []
-    for r in rows.itertuples():
-        if status != "dead":
-            history = [*history[-4:], bool(r.hit)]
-            misses = 0 if r.hit else misses + 1
-            llr += math.log(PD / BETA) - 0.5 * r.d2 - LOG_2PI - 0.5 * r.logdet if r.hit else math.log(1 - PD)
-            if misses >= 10 or llr < -20:
-                status = "dead"
-            elif r.hit and (status == "coasting" or status == "tentative" and sum(history) >= 3):
-                status = "confirmed"
-            elif status == "confirmed" and misses >= 2:
-                status = "coasting"
-        out.append((key[0], r.frame_idx, status, misses, llr))
-    return pd.DataFrame(out, columns=["track_id", "frame_idx", "status", "misses", "llr"])
+#: A track is confirmed by so many hits in so many frames, coasts after so many misses and dies after so many or below this score.
+CONFIRM_HITS, CONFIRM_FRAMES = 3, 5
+COAST_MISSES, DEAD_MISSES, DEAD_SCORE = 2, 10, -20.0
 
 
 def lifecycles(hits: DataFrame) -> DataFrame:
-    """hits: track_id, frame_idx, hit, d2, logdet."""
-    return hits.groupBy("track_id").applyInPandas(lifecycle, "track_id long, frame_idx long, status string, misses int, llr double")
+    """track_id, frame_idx, status, misses, llr of each row of hits (track_id, frame_idx, hit, d2, logdet).
+
+    A track is tentative until its first hit with enough hits in its last frames, then coasting while it has enough misses
+    in a row, else confirmed, and dead for good once it has too many or its score is too low; then nothing of it changes.
+    All of it are counts and sums over the rows before, so windows of one sort by track have it.
+    """
+    w = W.partitionBy("track_id").orderBy("frame_idx")
+    till, recent = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(1 - CONFIRM_FRAMES, 0)
+    hit = F.coalesce(F.col("hit"), F.lit(False))
+    gain = F.when(hit, math.log(PD / BETA) - LOG_2PI - 0.5 * F.col("d2") - 0.5 * F.col("logdet")).otherwise(math.log(1 - PD))
+    d = hits.select("track_id", "frame_idx", hit.alias("hit"), F.row_number().over(w).alias("n"), F.sum(gain).over(till).alias("llr"), F.sum(hit.cast("int")).over(recent).alias("recent"))
+    d = d.withColumn("misses", F.col("n") - F.coalesce(F.max(F.when(F.col("hit"), F.col("n"))).over(till), F.lit(0)))
+    dying = (F.col("misses") >= DEAD_MISSES) | (F.col("llr") < DEAD_SCORE)
+    at_death = F.first(F.when(dying, F.struct("n", "misses", "llr")), ignorenulls=True).over(till)
+    confirmed = F.max(F.when(F.col("hit") & ~dying & (F.col("recent") >= CONFIRM_HITS), True)).over(till)
+    d = d.withColumns({"end": at_death, "confirmed": F.coalesce(confirmed, F.lit(False))})
+    status = F.when(F.col("end").isNotNull(), "dead").when(~F.col("confirmed"), "tentative").when(F.col("misses") >= COAST_MISSES, "coasting").otherwise("confirmed")
+    return d.select("track_id", "frame_idx", status.alias("status"), F.coalesce("end.misses", "misses").cast("int").alias("misses"), F.coalesce("end.llr", "llr").alias("llr"))

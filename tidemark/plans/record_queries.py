@@ -177,9 +177,9 @@ def forecast_branches(spark, sf_dir):
     return forecast.branch_summaries(forecast.branches(p)).withColumnRenamed("key", "mission")
 
 
-NAV = f"""{{DET}}, {LATEST}, i AS (SELECT mmsi, age_s / 60 AS silent_min, CASE WHEN mmsi % 4 <> 0 THEN (mmsi % 400)::DOUBLE END AS co, CASE WHEN mmsi % 3 <> 0 THEN (mmsi * 7 % 360)::DOUBLE END AS he, CASE WHEN mmsi % 5 <> 0 THEN (mmsi % 60)::DOUBLE END AS sp, CASE WHEN mmsi % 7 <> 0 THEN (mmsi % 9 - 4) / 2.0::DOUBLE END AS tu, mmsi % 11 AS st,
+NAV = f"""{{DET}}, {LATEST}, i AS (SELECT mmsi, age_s / 60 AS silent_min, CASE WHEN mmsi % 4 <> 0 THEN (mmsi % 400)::DOUBLE END AS co, CASE WHEN mmsi % 3 <> 0 THEN (mmsi * 7 % 360)::DOUBLE END AS he, CASE WHEN mmsi % 5 <> 0 THEN (mmsi % 60)::DOUBLE END AS sp, CASE WHEN mmsi % 13 = 0 THEN 127.0::DOUBLE WHEN mmsi % 7 <> 0 THEN (mmsi % 9 - 4) * 6.0::DOUBLE END AS raw_turn, mmsi % 11 AS st,
  CASE WHEN mmsi % 6 <> 0 THEN (mmsi * 3 % 360)::DOUBLE END AS pc, CASE WHEN mmsi % 6 <> 0 THEN (mmsi % 30)::DOUBLE END AS ps, CASE WHEN mmsi % 8 <> 0 THEN (mmsi % 5 - 2) / 1.0::DOUBLE END AS pt, mmsi % 5 AS pts FROM last),
-a AS (SELECT *, CASE WHEN co < 360 THEN co END AS c, CASE WHEN sp < 50 THEN sp END AS s, coalesce(CASE WHEN co < 360 THEN co END, he) AS told FROM i), b AS (SELECT *, (pc - told + 540) % 360 - 180 AS off, coalesce(s, ps, 5.0) AS k0, st IN (1, 5, 6) AS held, (c IS NULL)::INT + (he IS NULL)::INT + (s IS NULL)::INT + (coalesce(tu, pt) IS NULL)::INT + (pts < 3)::INT AS n FROM a),
+a AS (SELECT *, CASE WHEN raw_turn BETWEEN -20 AND 20 THEN raw_turn END AS tu, CASE WHEN co < 360 THEN co END AS c, CASE WHEN sp < 50 THEN sp END AS s, coalesce(CASE WHEN co < 360 THEN co END, he) AS told FROM i), b AS (SELECT *, (pc - told + 540) % 360 - 180 AS off, coalesce(s, ps, 5.0) AS k0, st IN (1, 5, 6) AS held, (c IS NULL)::INT + (he IS NULL)::INT + (s IS NULL)::INT + (coalesce(tu, pt) IS NULL)::INT + (pts < 3)::INT AS n FROM a),
 d AS (SELECT *, CASE WHEN held AND k0 < 3 THEN least(k0, 0.5) ELSE k0 END AS kn, coalesce(tu * 0.7 + pt * 0.3, tu, pt, 0) AS t0 FROM b)"""
 
 
@@ -190,7 +190,7 @@ def forecast_navigation(spark, sf_dir):
     k = F.col("mmsi")
     some = lambda every, v: F.when(k % every != 0, v.cast("double"))
     i = movement.latest(det(spark, sf_dir), NOW, SILENT)
-    nav = forecast.navigation(some(4, k % 400), some(3, k * 7 % 360), some(5, k % 60), some(7, (k % 9 - 4) / 2), k % 11, some(6, k * 3 % 360), some(6, k % 30), some(8, k % 5 - 2), k % 5, F.least(F.col("age_s") / 60, F.lit(1440.0)))
+    nav = forecast.navigation(some(4, k % 400), some(3, k * 7 % 360), some(5, k % 60), F.when(k % 13 == 0, 127.0).otherwise(some(7, (k % 9 - 4) * 6)), k % 11, some(6, k * 3 % 360), some(6, k % 30), some(8, k % 5 - 2), k % 5, F.least(F.col("age_s") / 60, F.lit(1440.0)))
     return i.select("mmsi", *[r(nav[n], 6).alias(n) for n in ("bearing", "speed_kn", "turn", "heading_sigma", "speed_sigma")], F.size(nav["missing"]).cast("long").alias("n_missing"), nav["n_branches"].cast("long").alias("n_branches"))
 
 

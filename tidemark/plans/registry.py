@@ -247,7 +247,17 @@ def greedy_assign(spark, sf_dir):
 
 @query()
 def ambiguity_margin(spark, sf_dir):
-    return tracking.margins(tracking.pair_costs(*tracks_and_plots(spark, sf_dir)))
+    tracks, plots = tracks_and_plots(spark, sf_dir)
+    return tracking.margins(tracking.pair_costs(tracks, plots), tracks, plots)
+
+
+@query()
+def assignment_costs(spark, sf_dir):
+    """What each frame's optimal assignment costs beside a greedy one."""
+    tracks, plots = tracks_and_plots(spark, sf_dir)
+    pairs = tracking.pair_costs(tracks, plots)
+    best, greedy = (tracking.total_costs(f(pairs), tracks, plots) for f in (tracking.assign, tracking.assign_greedily))
+    return best.join(greedy.select("frame_idx", F.col("cost").alias("greedy_cost")), "frame_idx").select("frame_idx", r("cost").alias("cost"), r("greedy_cost").alias("greedy_cost"), "n_assigned", "n_tracks", "n_plots")
 
 
 @query("""WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events),
@@ -268,10 +278,15 @@ def confirm_m_of_n(spark, sf_dir):
     return det(spark, sf_dir).withColumn("hits", hits).where("hits >= 3").groupBy("mmsi").agg(F.min("frame_idx").alias("confirmed_at"))
 
 
-@query()
+@query("""{DET}, h AS (SELECT mmsi AS track_id, frame_idx, event_type <> 'view' AS hit, (event_id % 9)::DOUBLE AS d2 FROM det),
+g AS (SELECT *, sum(CASE WHEN hit THEN ln(0.9 / 1e-6::DOUBLE) - ln(2 * pi()) - 0.5 * d2 - 4 ELSE ln(0.1::DOUBLE) END) OVER w AS llr, row_number() OVER w AS n, max(CASE WHEN hit THEN frame_idx END) OVER w AS last_hit, list(hit) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS five FROM h WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, frame_idx - coalesce(last_hit, -1) AS misses, hit AND len(list_filter(five, lambda x: x)) >= 3 AS enough FROM g),
+d AS (SELECT *, min(CASE WHEN misses >= 10 OR llr < -20 THEN frame_idx END) OVER (PARTITION BY track_id) AS died, min(CASE WHEN enough THEN frame_idx END) OVER (PARTITION BY track_id) AS sure FROM m)
+SELECT a.track_id, a.frame_idx, CASE WHEN a.frame_idx >= a.died THEN 'dead' WHEN a.sure IS NULL OR a.sure > a.frame_idx THEN 'tentative' WHEN a.misses >= 2 THEN 'coasting' ELSE 'confirmed' END AS status,
+  coalesce(b.misses, a.misses)::INT AS misses, round(coalesce(b.llr, a.llr), 4) AS llr FROM d a LEFT JOIN d b ON a.track_id = b.track_id AND b.frame_idx = a.died AND a.frame_idx >= a.died""")
 def track_lifecycle(spark, sf_dir):
     d = det(spark, sf_dir).select(F.col("mmsi").alias("track_id"), "frame_idx", (F.col("event_type") != "view").alias("hit"), (F.col("event_id") % 9).cast("double").alias("d2"), F.lit(8.0).alias("logdet"))
-    return tracking.lifecycles(d)
+    return tracking.lifecycles(d).withColumn("llr", r("llr"))
 
 
 @query(f"""{{DET}}, {LATEST}, q AS (SELECT b.event_id AS det_id, a.mmsi AS track_id, b.x - a.x AS dx, b.y - a.y AS dy, 300 * 300 + b.sigma * b.sigma AS s FROM last a JOIN det b ON a.frame_idx = b.frame_idx AND a.dark AND b.source = 'radar' AND a.mmsi <> b.mmsi),
