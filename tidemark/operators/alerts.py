@@ -194,9 +194,21 @@ def separation(actual: Column, wanted: float) -> Column:
 
 
 def unique_ids(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """rows with uid: the first of a name keeps it, later ones get #1, #2 and so on. Names must not hold # themselves."""
-    n = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
-    return rows.withColumn("uid", F.when(n == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), n.cast("string"))))
+    """rows with uid: the first of a name keeps it, each later one gets the lowest #number that is free.
+
+    A number is taken if any row is given it as its name, before or after, so no name that was given is ever minted. The
+    k-th free number of a name is k and as many more as taken ones lie below it; a taken a, the i-th of its name, lies
+    below if a - i < k. So rows and taken numbers are counted in one window. A null name stays null.
+    """
+    base, number = F.regexp_extract(name, r"(?s)^(.*)#([1-9][0-9]*)$", 1), F.expr(f"try_cast(regexp_extract(`{name}`, '(?s)^(.*)#([1-9][0-9]*)$', 2) AS bigint)")
+    given = rows.select(name).distinct().select(base.alias("_name"), number.alias("_number")).where("_number IS NOT NULL")
+    taken = given.select("_name", (F.col("_number") - F.row_number().over(W.partitionBy("_name").orderBy("_number"))).alias("_k"), F.lit(1).alias("_taken"))
+    k = F.row_number().over(W.partitionBy(name).orderBy(order)) - 1
+    held = rows.withColumns({"_name": F.col(name), "_k": k.cast("long"), "_taken": F.lit(0)})
+    more = F.sum("_taken").over(W.partitionBy("_name").orderBy("_k", "_taken").rowsBetween(W.unboundedPreceding, 0))
+    d = held.unionByName(taken, allowMissingColumns=True).withColumn("_more", more).where("_taken = 0")
+    uid = F.when(F.col("_k") == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("#"), (F.col("_k") + F.col("_more")).cast("string")))
+    return d.withColumn("uid", uid).drop("_name", "_k", "_taken", "_more")
 
 
 def merged(state: DataFrame, delta: DataFrame, key: str) -> DataFrame:
