@@ -101,3 +101,12 @@ def restore_state(spark: SparkSession, path: str, schema: str, now: float, silen
     """The saved contacts that are young enough, with age_s and dark as of now."""
     d = spark.read.schema(schema).json(path, mode="DROPMALFORMED").withColumn("age_s", now - F.col("last_seen"))
     return d.where(F.col("age_s") <= keep_s).withColumn("dark", F.col("age_s") >= silent_s)
+
+
+def rates(spark: SparkSession, path: str) -> DataFrame:
+    """unit, resource, usd, schedule and effective of rate files: JSON objects whose members named ..._hourly_usd map resources to dollars an hour. Rates that are no numbers are null."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
+    d = raw.select(F.explode("m").alias("group", "members"), F.from_json(F.try_element_at("m", F.lit("source")), "map<string,string>").alias("s")).where(F.col("group").endswith("_hourly_usd"))
+    d = d.select("s", F.regexp_extract("group", "^(.*)_hourly_usd$", 1).alias("unit"), F.explode(F.from_json("members", "map<string,string>")).alias("resource", "usd"))
+    said = lambda name: F.try_element_at("s", F.lit(name))
+    return d.select("unit", "resource", F.col("usd").try_cast("double").alias("usd"), said("rate_schedule").alias("schedule"), said("effective_date").alias("effective"))
