@@ -155,3 +155,22 @@ def test_belief_graphs_that_are_wrong(spark):
         beliefs.changed(state, spark.createDataFrame([(1, "c", True)], GRAPH[0]), *t(*fine)[1:])
     with pytest.raises(RuntimeError, match="settle"):
         beliefs.solved(*t([(1, "f", True)], [(1, "j", "c")], [(1, "j", "f", False), (1, "j", "c", True)]))
+
+
+def test_briefs_tell_what_changed_and_why(spark):
+    facts = spark.createDataFrame([(1, "f_a", True), (1, "f_b", False), (2, "f_a", None)], "graph int, node string, believed boolean")
+    justified = spark.createDataFrame([(1, "j1", "c", 2), (1, "j2", "c", 1), (1, "j3", "free", 1), (2, "j1", "c", 1)], "graph int, justification string, conclusion string, ord int")
+    needs = spark.createDataFrame([(1, "j1", "f_a", False), (1, "j1", "f_b", True), (1, "j2", "f_b", False), (2, "j1", "f_a", True)], "graph int, justification string, node string, refutes boolean")
+    before = beliefs.solved(facts, justified, needs)
+    said = lambda state: {(r.graph, r.node): (r.status, r.text, r.source_ids) for r in beliefs.briefs(state, justified, needs, by="ord").collect()}
+    assert said(before) == {
+        (1, "c"): ("IN", "c: OUT -> IN (justification j1 satisfied: f_a is believed and f_b is not believed)", ["f_b", "f_a"]),
+        (1, "free"): ("IN", "free: OUT -> IN (justification j3 satisfied: trivially (no antecedents or inhibitors))", []),
+        (2, "c"): ("IN", "c: OUT -> IN (justification j1 satisfied: f_a is not believed)", ["f_a"]),
+    }
+    gone = spark.createDataFrame([(1, "f_a", False)], "graph int, node string, believed boolean")
+    after = said(beliefs.changed(before, gone, justified, needs))
+    assert after[1, "c"] == ("OUT", "c: IN -> OUT (justification j2 not satisfied: f_b is no longer believed; no alternate justification holds (1 other(s) also unsatisfied))", ["f_b", "f_a"])
+    assert after[1, "free"][1] == "free: IN (justification j3 satisfied: trivially (no antecedents or inhibitors))"
+    assert after[2, "c"][1] == "c: IN (justification j1 satisfied: f_a is not believed)"
+    assert said(before.limit(0)) == {}

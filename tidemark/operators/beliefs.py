@@ -75,3 +75,45 @@ def changed(state: DataFrame, changes: DataFrame, justifications: DataFrame, ant
 def flips(state: DataFrame) -> DataFrame:
     """graph, node, believed of the conclusions that changed."""
     return state.where("NOT fact AND before <> believed").select("graph", "node", "believed")
+
+
+def explained(state: DataFrame, justifications: DataFrame, antecedents: DataFrame, *, among: str = "node") -> DataFrame:
+    """graph, justification, conclusion, satisfied, whole, lacks, sources of each justification in a state.
+
+    whole says what it stands on, lacks what of that isn't so, both in the fixed wording that clients show: supports first, then refutations,
+    each in the order of the column among. sources are the nodes in that order. One without antecedents stands on nothing.
+    """
+    d = antecedents.join(state.select("graph", "node", "believed"), ["graph", "node"])
+    met = F.col("believed") != F.col("refutes")
+    says = lambda yes, no: F.concat(F.col("node"), F.when(F.col("refutes"), no).otherwise(yes))
+    item = F.struct("refutes", F.col(among).alias("ord"), "node", says(" is believed", " is not believed").alias("is"), F.when(~met, says(" is no longer believed", " is now believed")).alias("isnt"))
+    per = d.groupBy("graph", "justification").agg(F.bool_and(met).alias("_met"), F.sort_array(F.collect_list(item)).alias("_items"))
+    of = lambda name: F.transform("_items", lambda i: i[name])
+    j = justifications.join(per, ["graph", "justification"], "left")
+    some = F.coalesce(F.size("_items"), F.lit(0)) > 0
+    whole = F.when(some, F.array_join(of("is"), " and ")).otherwise("trivially (no antecedents or inhibitors)")
+    return j.select(*justifications.columns, F.coalesce("_met", F.lit(True)).alias("satisfied"), whole.alias("whole"), F.array_join(F.array_compact(of("isnt")), " and ").alias("lacks"), F.coalesce(of("node"), F.array().cast("array<string>")).alias("sources"))
+
+
+def briefs(state: DataFrame, justifications: DataFrame, antecedents: DataFrame, *, by: str = "justification", among: str = "node") -> DataFrame:
+    """graph, node, status (IN or OUT), text, source_ids, model_used, cost_usd of each conclusion of a state.
+
+    The text tells the status, and the one before if it was another, and why: the first justification by ``by`` that is
+    satisfied, or what the first one lacks. source_ids are the nodes of all its justifications, each once, in order. It
+    comes from a template, so it costs nothing; wording is fixed, as clients show it.
+    """
+    e = explained(state, justifications, antecedents, among=among)
+    first = F.struct(F.col(by).alias("_by"), "justification", "whole", "lacks")
+    per = e.groupBy("graph", F.col("conclusion").alias("node")).agg(
+        F.min(F.when(F.col("satisfied"), first)).alias("_holds"), F.min(first).alias("_first"), F.count(F.lit(1)).alias("_n"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(F.col(by).alias("_by"), "justification", "sources"))), lambda s: s["sources"])).alias("_sources"),
+    )
+    d = state.where("NOT fact").join(per, ["graph", "node"])
+    word = lambda c: F.when(F.col(c), "IN").otherwise("OUT")
+    change = F.when(F.col("before") != F.col("believed"), F.concat(word("before"), F.lit(" -> "), word("believed"))).otherwise(word("believed"))
+    others = F.when(F.col("_n") > 1, F.concat(F.lit("; no alternate justification holds ("), (F.col("_n") - 1).cast("string"), F.lit(" other(s) also unsatisfied)"))).otherwise("")
+    why = F.when(F.col("believed"), F.concat(F.lit("justification "), F.col("_holds.justification"), F.lit(" satisfied: "), F.col("_holds.whole"))).otherwise(
+        F.concat(F.lit("justification "), F.col("_first.justification"), F.lit(" not satisfied: "), F.col("_first.lacks"), others)
+    )
+    text = F.concat(F.col("node"), F.lit(": "), change, F.lit(" ("), why, F.lit(")"))
+    return d.select("graph", "node", word("believed").alias("status"), text.alias("text"), F.array_distinct("_sources").alias("source_ids"), F.lit("template").alias("model_used"), F.lit(0.0).alias("cost_usd"))
