@@ -4,6 +4,9 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+
+from tidemark.functions import geo
 from tidemark.operators import decisions, replay, tracking, zones
 
 
@@ -253,3 +256,21 @@ def test_turns_that_cannot_be_are_missing(spark):
     nav = forecast.navigation(no, no, no, F.col("turn"), F.lit(0), no, no, F.col("past"), F.lit(5), F.lit(0.0))
     out = {r["k"]: r for r in d.select("k", nav["turn"].alias("turn"), F.array_contains(nav["missing"], "rate_of_turn").alias("missing")).collect()}
     assert [(out[k]["turn"], out[k]["missing"]) for k in range(6)] == [(0.0, True), (-1.5, False), (1.0, False), (0.0, True), (1.5, False), (1.5, False)]
+
+
+def test_candidates_are_told_in_order(spark):
+    shape = "det_id long, track_id long, d2 double, gated_out boolean, p double, x double, y double, t double, last_x double, last_y double, last_t double"
+    rows = [(1, 5, 12.345678, True, 0.0, 30.0, 40.0, 10.0, 0.0, 0.0, 0.0), (1, 4, 2.25, False, 0.2, 3.0, 4.0, 5.0, 0.0, 0.0, 5.0), (1, 3, 1.0, False, 0.7, 3.0, 4.0, 2.0, 0.0, 0.0, 5.0), (1, 2, 9.5, True, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0), (2, 9, -1e-12, False, 0.1, 0.0, 0.0, 1.0, None, 0.0, 0.0)]
+    got = {(r.det_id, r.track_id): r for r in tracking.told(spark.createDataFrame(rows, shape)).collect()}
+    assert [got[1, t]["rank"] for t in (3, 4, 2, 5)] == [1, 2, 3, 4]
+    assert got[1, 5].reason == "gated out: d2=12.35 > 9.21 (3.5 sigma)" and got[1, 4].reason == ""
+    assert (got[1, 5].range_m, got[1, 5].implied_speed_mps) == (50.0, 5.0) and abs(got[1, 5].implied_speed_kn - 9.719222) < 1e-5
+    assert got[1, 4].implied_speed_mps == got[1, 3].implied_speed_mps == 0.0 and got[1, 3].time_dark_s == -3.0
+    assert got[2, 9].sigma_distance == 0.0 and got[2, 9].range_m is None
+    assert tracking.told(spark.createDataFrame([], shape)).count() == 0
+
+
+def test_reachable_in_no_time_is_staying(spark):
+    d = spark.createDataFrame([(0.0, 0.0), (0.0, -5.0), (3.0, 0.0), (3.0, 1.0), (3.0, 0.99)], "far double, elapsed double")
+    zero = F.lit(0.0)
+    assert [r.c for r in d.select(geo.reachable(zero, zero, F.col("far"), zero, F.col("elapsed"), F.lit(3.0)).alias("c")).collect()] == [True, True, False, True, False]

@@ -272,6 +272,24 @@ def reattributed(candidates: DataFrame, beta: float = 1e-9) -> DataFrame:
     return d.withColumn("p", F.coalesce(mass / (F.sum(mass).over(w) + F.exp(math.log(beta) - F.col("top"))), F.lit(0.0))).drop("ll", "top")
 
 
+#: Fixed value: knots of a metre a second.
+KNOTS = 1.943844492440605
+
+
+def told(found: DataFrame, gate: float = GATE) -> DataFrame:
+    """found (of reattributed, with x, y, t of the plot and last_x, last_y, last_t of the track's last fix) with what is said of each candidate.
+
+    Adds sigma_distance, time_dark_s, range_m, implied_speed_mps and implied_speed_kn (0 if no time has passed), reason
+    (empty inside the gate; fixed wording, as clients show it) and rank: the likeliest track of a plot first, then the
+    nearest by d2, then by id.
+    """
+    dark, far = F.col("t") - F.col("last_t"), F.hypot(F.col("x") - F.col("last_x"), F.col("y") - F.col("last_y"))
+    speed, sigmas = F.when(dark > 0, far / dark).otherwise(0.0), F.sqrt(F.greatest("d2", F.lit(0.0)))
+    reason = F.when(F.col("gated_out"), F.format_string(f"gated out: d2=%.2f > {gate:.2f} (%.1f sigma)", "d2", sigmas)).otherwise("")
+    d = found.withColumns({"sigma_distance": sigmas, "time_dark_s": dark, "range_m": far, "implied_speed_mps": speed, "implied_speed_kn": speed * KNOTS, "reason": reason})
+    return d.withColumn("rank", F.row_number().over(W.partitionBy("det_id").orderBy(F.desc("p"), "d2", "track_id")))
+
+
 #: A track is confirmed by so many hits in so many frames, coasts after so many misses and dies after so many or below this score.
 CONFIRM_HITS, CONFIRM_FRAMES = 3, 5
 COAST_MISSES, DEAD_MISSES, DEAD_SCORE = 2, 10, -20.0
