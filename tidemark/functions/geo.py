@@ -22,7 +22,7 @@ def to_lla(x: Column, y: Column, lat0: float, lon0: float, radius: float = FLAT_
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * GREAT_KM * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * GREAT_KM * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least would skip nulls: half the globe from nowhere
 
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
