@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators import paths, water
+from tidemark.operators import movement, paths, payloads, water
 from tidemark.plans.registry import det, query, r
 from tidemark.plans.water_queries import STEPS, water_tiles
 
@@ -66,3 +67,58 @@ SELECT event_id, mmsi FROM n WHERE n <= 24 OR event_type = 'error' OR list_conta
 def thinned_with_marks(spark, sf_dir):
     """At most 24 reports of each path, evenly spread, and every radar plot besides."""
     return paths.thinned(fixes(spark, sf_dir), "mmsi", ["frame_idx"], 24, F.col("event_type") == "error").select("event_id", "mmsi")
+
+
+STATES = """{DET}, s0 AS (SELECT user_id // 12 AS mission, frame_idx, mmsi, x, y, sigma, source, event_id, event_type, coalesce(x - lag(x) OVER w, 0) / 30 AS vx, coalesce(y - lag(y) OVER w, 0) / 30 AS vy FROM det WINDOW w AS (PARTITION BY mmsi ORDER BY frame_idx)),
+s1 AS (SELECT *, CASE event_type WHEN 'error' THEN 'coasting' WHEN 'view' THEN 'tentative' WHEN 'signup' THEN 'deleted' ELSE 'confirmed' END AS status, sigma * sigma + (mmsi % 3) * 40 AS p00, (mmsi % 5 - 2) * 5.0 AS p01, sigma * sigma + 30.0::DOUBLE AS p11 FROM s0), shown AS (SELECT * FROM s1 WHERE status <> 'deleted')"""
+
+
+def states(spark, sf_dir):
+    """Every report as a track's state, whose status and spread its kind tells."""
+    d, k = det(spark, sf_dir), F.col("mmsi")
+    w = W.partitionBy("mmsi").orderBy("frame_idx")
+    moved = lambda c: F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0)) / 30
+    status = F.when(F.col("event_type") == "error", "coasting").when(F.col("event_type") == "view", "tentative").when(F.col("event_type") == "signup", "deleted").otherwise("confirmed")
+    s2 = F.col("sigma") * F.col("sigma")
+    return movement.inside(d).select(
+        F.floor(F.col("user_id") / 12).cast("long").alias("mission"), "frame_idx", k.alias("track_id"), "x", "y", moved("x").alias("vx"), moved("y").alias("vy"), (s2 + k % 3 * 40).alias("p00"), ((k % 5 - 2) * 5.0).alias("p01"), (s2 + 30).alias("p11"),
+        status.alias("status"), F.col("zones_in").alias("zones"), F.col("source").alias("last_source"), "event_id", "event_type",
+    )
+
+
+AXES = """e AS (SELECT *, sqrt(4 * ((p00 + p11) / 2 + sqrt(((p00 - p11) / 2) ** 2 + p01 * p01))) AS major, sqrt(4 * greatest((p00 + p11) / 2 - sqrt(((p00 - p11) / 2) ** 2 + p01 * p01), 0)) AS minor, atan2(2 * p01, p00 - p11) / 2 AS turn FROM shown),
+c AS (SELECT *, x + major * cos(2 * pi() * 5 / 24) * cos(turn) - minor * sin(2 * pi() * 5 / 24) * sin(turn) AS cx, y + major * cos(2 * pi() * 5 / 24) * sin(turn) + minor * sin(2 * pi() * 5 / 24) * cos(turn) AS cy FROM e)"""
+
+
+@query(f"""{STATES}, {AXES} SELECT event_id, round(x, 1) AS x, round(36.75 + degrees(y / 6371000.0), 6) AS lat, round((degrees(atan2(vx, vy)) + 360) % 360, 1) AS heading_deg, round(sqrt(vx * vx + vy * vy), 2) AS speed_mps, status = 'coasting' AS dark,
+ mmsi || printf(' · %.1f kn', round(sqrt(vx * vx + vy * vy) * 1.94384, 1)) AS label, 25::INT AS n_corners, round(cx, 1) AS corner_x, round(36.75 + degrees(cy / 6371000.0), 6) AS corner_lat, round(-121.95 + degrees(cx / (6371000.0 * cos(radians(36.75)))), 6) AS corner_lon FROM c""")
+def shown_tracks(spark, sf_dir):
+    """What clients are told of each track, with the sixth corner of its ellipse."""
+    s = states(spark, sf_dir)
+    t = payloads.tracks(s, 36.75, -121.95).join(s.select("event_id", "mission", "frame_idx", "track_id"), ["mission", "frame_idx", "track_id"])
+    at = lambda ring, k: F.col(ring)[5][k]
+    return t.select("event_id", "x", "lat", "heading_deg", "speed_mps", "dark", "label", F.size("ellipse").alias("n_corners"), at("ellipse", 0).alias("corner_x"), at("ellipse_latlon", 0).alias("corner_lat"), at("ellipse_latlon", 1).alias("corner_lon"))
+
+
+@query(STATES + """, g AS (SELECT a.mission, a.frame_idx + 1 AS frame_idx, a.mmsi FROM shown a LEFT JOIN shown b ON b.mission = a.mission AND b.frame_idx = a.frame_idx + 1 AND b.mmsi = a.mmsi WHERE b.mmsi IS NULL),
+i AS (SELECT mission, frame_idx, 'tracks' AS kind, mmsi::VARCHAR AS id, status = 'coasting' AS flag, false AS hit FROM shown UNION ALL SELECT mission, frame_idx, 'measurements', event_id::VARCHAR, event_type = 'signup', event_type = 'click' FROM s1
+ UNION ALL SELECT mission, frame_idx, 'alerts', 'A-' || event_id, false, false FROM s1 WHERE event_type = 'purchase' UNION ALL SELECT mission, frame_idx, 'removed', mmsi::VARCHAR, false, false FROM g
+ UNION ALL SELECT mission, 0, 'zones', z, false, false FROM (SELECT DISTINCT mission FROM s1), (VALUES ('sanctuary_a'), ('sanctuary_b'), ('harbour'), ('range')) v(z)),
+n AS (SELECT mission, frame_idx, greatest(1, ceil(count(*) FILTER (WHERE NOT (kind = 'measurements' AND flag)) / 16.0))::BIGINT AS n_parts, count(*) FILTER (WHERE kind = 'tracks') AS n_tracks, count(*) FILTER (WHERE kind = 'tracks' AND flag) AS n_dark, count(*) FILTER (WHERE kind = 'measurements' AND NOT flag) AS n_meas,
+ count(*) FILTER (WHERE kind = 'measurements' AND flag) AS n_suppressed, count(*) FILTER (WHERE kind = 'measurements' AND hit) AS n_matched FROM i GROUP BY ALL),
+p AS (SELECT i.*, n.* EXCLUDE (mission, frame_idx), CASE WHEN kind = 'measurements' AND flag THEN 0 ELSE ('0x' || substr(md5(kind || '#' || id), 1, 8))::BIGINT % n_parts END AS part, kind = 'measurements' AND flag AS hides FROM i JOIN n USING (mission, frame_idx))
+SELECT mission, frame_idx, part::BIGINT AS part, n_parts, printf('%d:%02d:%02d', frame_idx * 30 // 3600, frame_idx * 30 % 3600 // 60, frame_idx * 30 % 60) AS clock, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE kind = 'tracks'), '') AS tracks, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE kind = 'measurements' AND NOT hides), '') AS measurements,
+ coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE kind = 'alerts'), '') AS alerts, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE kind = 'removed'), '') AS removed, coalesce(string_agg(id, ',' ORDER BY id) FILTER (WHERE kind = 'zones'), '') AS zones, n_tracks, n_dark, n_meas, n_suppressed, n_matched
+FROM p GROUP BY mission, frame_idx, part, n_parts, n_tracks, n_dark, n_meas, n_suppressed, n_matched""")
+def frame_messages(spark, sf_dir):
+    """Every frame's messages of sixteen items or so: what each part holds, and the counts of the whole frame."""
+    s = states(spark, sf_dir)
+    kind = F.col("event_type")
+    plots = s.select("mission", "frame_idx", F.col("event_id").alias("meas_id"), "x", "y", F.col("last_source").alias("source"), (kind == "signup").alias("suppressed"), (kind == "click").alias("matched"))
+    alerts = s.where(kind == "purchase").select("mission", "frame_idx", F.concat(F.lit("A-"), F.col("event_id").cast("string")).alias("alert_id"), "track_id", F.lit("intrusion").alias("kind"))
+    rings = F.array(*[F.struct(F.lit(z).alias("zone_id"), F.lit(k).alias("kind"), F.array(*[F.array(*map(F.lit, p)) for p in ring]).alias("ring")) for z, k, ring in movement.ZONES])
+    zones = s.select("mission").distinct().select("mission", F.inline(rings))
+    m = payloads.messages(payloads.tracks(s, 36.75, -121.95), plots, alerts, zones, 30.0, 16)
+    ids = {"tracks": "track_id", "measurements": "meas_id", "alerts": "alert_id", "removed": "track_id", "zones": "zone_id"}
+    listed = [F.array_join(F.transform(k, lambda v: v[n].cast("string")), ",", "?").alias(k) for k, n in ids.items()]  # noqa: B023
+    return m.select("mission", "frame_idx", "part", "n_parts", "clock", *listed, "stats.*")
