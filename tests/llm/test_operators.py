@@ -351,6 +351,81 @@ def test_packing_is_whole_and_tight(spark):
     assert out["sequence_id"].nunique() <= math.ceil(out["length"].sum() / 2048) + 1
 
 
+def fewest_bins(sizes: list[int], capacity: int) -> int:
+    """By trying all groupings."""
+    least = len(sizes)
+
+    def go(k: int, free: list[int]) -> None:
+        nonlocal least
+        if k == len(sizes) or len(free) >= least:
+            least = min(least, len(free))
+            return
+        for b, space in enumerate(free):
+            if space >= sizes[k]:
+                go(k + 1, [*free[:b], space - sizes[k], *free[b + 1 :]])
+        go(k + 1, [*free, capacity - sizes[k]])
+
+    go(0, [])
+    return least
+
+
+def test_packing_bound_is_one():
+    rng = random.Random(5)
+    for _ in range(300):
+        capacity = rng.randrange(2, 30)
+        sizes = sorted((rng.randrange(1, capacity + 1) for _ in range(rng.randrange(8))), reverse=True)
+        best, found = fewest_bins(sizes, capacity), packing.evolve(sizes, [], 1, capacity)
+        assert packing.fewest(sizes, capacity) <= best <= len(found) <= best + 1 and sorted(i for x in found for i in x) == [*range(len(sizes))]
+    assert [packing.fewest([s] * 3000, 2048) for s in (330, 700, 1100, 2047)] == [500, 1500, 3000, 3000]
+
+
+def test_packing_search_goes_beyond_best_fit():
+    rng = random.Random(3)
+    pairs = [(a, rng.randrange(520, (2048 - a) // 2 + 1)) for a in (rng.randrange(780, 1000) for _ in range(300))]
+    threes = sorted((x for a, b in pairs for x in (a, b, 2048 - a - b)), reverse=True)
+    alike = sorted([330] * 200 + [rng.randrange(180, 500) for _ in range(1800)] + [rng.randrange(2, 1500) for _ in range(600)], reverse=True)
+    for sizes, few in ((threes, 302), (alike, packing.fewest(alike, 2048))):
+        bins, free = [], []
+        packing.best_fit(sizes, [*range(len(sizes))], bins, free, 2048)
+        found = packing.evolve(sizes, [], 1, 2048)
+        assert len(found) <= few < len(bins) and sorted(i for x in found for i in x) == [*range(len(sizes))]
+        assert all(sum(sizes[i] for i in x) <= 2048 for x in found)
+
+
+def test_packing_islands_keep_what_they_are_given(spark):
+    rng = random.Random(4)
+    sizes = [rng.randrange(400, 800) for _ in range(400)]
+    rows = [(i % 2, i, s, None) for i, s in enumerate(sizes)]
+    dealt = spark.createDataFrame(rows, "group long, row long, length long, own long")
+    for epochs in (1, 2):
+        found = packing.searched(dealt, 2048, 2, 3, epochs).toPandas()
+        assert sorted(found["row"]) == [*range(400)]
+        for _, x in found.sort_values("place").groupby(["group", "own"]):
+            assert x["length"].sum() <= 2048 and x["place"].tolist() == [0, *x["length"].cumsum().tolist()[:-1]]
+        free = found.groupby(["group", "own"])["length"].sum()
+        assert all(x.is_monotonic_increasing and len(x) == found[found["group"] == g]["bins"].iloc[0] for g, x in free.groupby("group"))
+        before, dealt = found.groupby("group")["bins"].first(), spark.createDataFrame(found[["group", "row", "length", "own"]])
+    again = packing.searched(dealt, 2048, 2, 1, 1).toPandas().groupby("group")["bins"].first()
+    assert (again <= before).all()
+
+
+def test_packing_groups_share_their_rests(spark):
+    texts = [prose(i, random.Random(i).randrange(1, 12)) for i in range(6000)]
+    out = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE, capacity=128, group_size=300).toPandas()
+    assert out["sequence_id"].nunique() == math.ceil(out["length"].sum() / 128)
+    for _, rows in out.sort_values("offset").groupby("sequence_id"):
+        assert rows["offset"].tolist() == [0, *rows["length"].cumsum().tolist()[:-1]] and rows["length"].sum() <= 128
+    many = packing.pack(spark.createDataFrame([(i, "") for i in range(9000)], "doc_id long, text string"), BPE, capacity=8, group_size=30)
+    assert many.select("sequence_id").distinct().count() == 1125 and many.count() == 9000
+
+
+def test_packing_query_has_as_few_sequences_as_there_can_be(spark):
+    from tidemark.llm import queries
+
+    n, tokens = queries.op8_packing(spark, "/root/testdata/sf0.1").agg(F.countDistinct("sequence_id"), F.sum("length")).first()
+    assert n == math.ceil(tokens / 2048)
+
+
 def test_media_round_trip_and_alignment(spark):
     for payload in (b"", b"x", b"y" * 576, bytes(range(256)) * 9):
         assert media.from_png(media.to_png(media.padded(payload))) == media.padded(payload) and len(media.padded(payload)) % 576 == 0 and media.padded(payload)
