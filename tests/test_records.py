@@ -72,6 +72,19 @@ def test_unpriced_resources_are_named(spark):
     assert got == {1: (120.0, 340.0, []), 2: (0.0, 0.0, ["plane"])}
 
 
+def test_fixed_decimals_are_those_of_the_exact_value(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    at = [k / 20 for k in range(1, 4001)] + [292.5, 293.5, 0.15, 6.25, 0.0, 1e-7, 2.0**52 + 0.5] + list(rng.uniform(0, 400, 2000)) + list(rng.integers(0, 400_000, 2000) / 1000)
+    at += [np.nextafter(v, d) for v in at[:4000:7] for d in (0.0, 1e9)]
+    d = spark.createDataFrame([(i, float(v)) for i, v in enumerate(at)], "i long, v double")
+    for digits in (0, 1, 2, 4):
+        got = {r["i"]: r["t"] for r in d.select("i", labels.fixed(F.col("v"), digits).alias("t")).collect()}
+        assert not [(v, got[i]) for i, v in enumerate(at) if got[i] != f"{v:.{digits}f}"]
+    assert [r[0] for r in spark.createDataFrame([(6.25 * 1852,), (292.5 * 1852,)], "m double").select(labels.distance(F.col("m"))).collect()] == ["6.2 NM", "292 NM"]
+
+
 def test_labels(spark):
     d = spark.createDataFrame([(0, 0.0), (72, 119.6), (59, 3599.0), (30, 7260.0), (None, None)], "code int, s double")
     got = [tuple(x) for x in d.select(labels.ship_type(F.col("code")), labels.silence(F.col("s")), labels.distance(F.col("s") * 100)).collect()]

@@ -30,15 +30,31 @@ def silence(seconds: Column) -> Column:
     return F.when(s < 120, F.concat(F.floor(s + 0.5).cast("string"), F.lit(" seconds"))).when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" minutes"))).otherwise(hours)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """The text of a number that isn't negative with that many decimals, as C and Python write it: by the double's exact value, halves to the even digit.
+
+    format_string rounds a double's shortest decimal text, halves up. Here the double is split in two parts whose products
+    with the scale are exact, so it is known on which side of a half it lies. From 2^53 on, scaled, the text is format_string's.
+    """
+    scale = float(10**digits)
+    spread = value * 134217729.0  # 2^27 + 1
+    high = spread - (spread - value)
+    a, b = high * scale, (value - high) * scale
+    n = F.floor(value * scale)
+    over = ((a - n.cast("double")) - 0.5) + b
+    whole = n + F.when((over > 0) | ((over == 0) & (n % 2 == 1)), 1).otherwise(0)
+    return F.format_string(f"%.{digits}f", F.when(value * scale < 2.0**53, whole / scale).otherwise(value))
+
+
 def degrees(value: Column, positive: str, negative: str) -> Column:
-    return F.concat(F.format_string("%.4f° ", F.abs(value)), F.when(value >= 0, positive).otherwise(negative))
+    return F.concat(fixed(F.abs(value), 4), F.lit("° "), F.when(value >= 0, positive).otherwise(negative))
 
 
 def distance(metres: Column) -> Column:
     """Whole metres below a nautical mile, else nautical miles with one decimal, from 100 on with none."""
     m = F.greatest(F.coalesce(metres, F.lit(0.0)), F.lit(0.0))
     miles = m / 1852
-    return F.when(miles < 1, F.concat(F.format_number(F.floor(m + 0.5), 0), F.lit(" m"))).when(miles >= 100, F.format_string("%.0f NM", miles)).otherwise(F.format_string("%.1f NM", miles))
+    return F.when(miles < 1, F.concat(F.format_number(F.floor(m + 0.5), 0), F.lit(" m"))).otherwise(F.concat(F.when(miles >= 100, fixed(miles, 0)).otherwise(fixed(miles, 1)), F.lit(" NM")))
 
 
 def region(protected: Column, no_take: Column, mpa: Column, eez: Column, rfmo: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.labels import fixed
 from tidemark.operators.cells import in_cells
 from tidemark.operators.groups import connected
 from tidemark.operators.staging import staged
@@ -285,7 +286,7 @@ def told(found: DataFrame, gate: float = GATE) -> DataFrame:
     """
     dark, far = F.col("t") - F.col("last_t"), F.hypot(F.col("x") - F.col("last_x"), F.col("y") - F.col("last_y"))
     speed, sigmas = F.when(dark > 0, far / dark).otherwise(0.0), F.sqrt(F.greatest("d2", F.lit(0.0)))
-    reason = F.when(F.col("gated_out"), F.format_string(f"gated out: d2=%.2f > {gate:.2f} (%.1f sigma)", "d2", sigmas)).otherwise("")
+    reason = F.when(F.col("gated_out"), F.concat(F.lit("gated out: d2="), fixed(F.col("d2"), 2), F.lit(f" > {gate:.2f} ("), fixed(sigmas, 1), F.lit(" sigma)"))).otherwise("")
     d = found.withColumns({"sigma_distance": sigmas, "time_dark_s": dark, "range_m": far, "implied_speed_mps": speed, "implied_speed_kn": speed * KNOTS, "reason": reason})
     return d.withColumn("rank", F.row_number().over(W.partitionBy("det_id").orderBy(F.desc("p"), "d2", "track_id")))
 
