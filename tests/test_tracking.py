@@ -274,3 +274,14 @@ def test_reachable_in_no_time_is_staying(spark):
     d = spark.createDataFrame([(0.0, 0.0), (0.0, -5.0), (3.0, 0.0), (3.0, 1.0), (3.0, 0.99)], "far double, elapsed double")
     zero = F.lit(0.0)
     assert [r.c for r in d.select(geo.reachable(zero, zero, F.col("far"), zero, F.col("elapsed"), F.lit(3.0)).alias("c")).collect()] == [True, True, False, True, False]
+
+
+def test_the_heaviest_hypothesis_stays_whatever_the_shares_round_to(spark):
+    light, heavy = 50.93, math.nextafter(50.93, 99)
+    rows = [(g, 0, name, w, 0) for g in range(60) for name, w in [("a", light), ("b", heavy), *[(f"c{i}", 40 + g / 7) for i in range(200)]]]
+    totals = {g: math.fsum(r[3] for r in rows if r[0] == g) for g in range(60)}
+    assert any(light / t == heavy / t for t in totals.values())
+    for order in (rows, rows[::-1]):
+        d = spark.createDataFrame(order, "group long, root long, hyp_id string, weight double, depth int").repartition(7)
+        for kept in (decisions.pruned(d), decisions.maintained(d)):
+            assert {r["group"]: (r["hyp_id"], r["weight"]) for r in kept.collect()} == {g: ("b", 1.0) for g in range(60)}

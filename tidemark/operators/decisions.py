@@ -97,24 +97,38 @@ def collapsed(leaves: DataFrame, depth: int = 3) -> DataFrame:
     return d.where(~F.col("_many") | (F.col("_rank") == 1)).drop("_many", "_rank")
 
 
-def maintained(leaves: DataFrame) -> DataFrame:
-    """Weights are normalised before roots are collapsed; light leaves are those below the floor of these weights."""
+def in_shares(leaves: DataFrame) -> DataFrame:
+    """leaves with _share, their part of their group's weight. Weights are added up heaviest first, so a task that is done again comes to the same sum; without any weight all shares are equal, and so are the weights."""
     from pyspark.sql import Window as W
 
-    total = F.sum("weight").over(W.partitionBy("group"))
-    share = F.when(total > 0, F.col("weight") / total).otherwise(1 / F.count(F.lit(1)).over(W.partitionBy("group")))
-    return pruned(collapsed(leaves.withColumn("weight", share)), normalise=False)
+    g = W.partitionBy("group").orderBy(F.desc("weight"), "hyp_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    d = leaves.withColumns({"_total": F.sum("weight").over(g), "_n": F.count(F.lit(1)).over(g)})
+    some = F.col("_total") > 0
+    share = F.when(some, F.col("weight") / F.col("_total")).otherwise(1 / F.col("_n"))
+    return d.withColumn("_share", share).withColumn("weight", F.when(some, F.col("weight")).otherwise(0.0)).drop("_total", "_n")
+
+
+def maintained(leaves: DataFrame) -> DataFrame:
+    """Weights are normalised before roots are collapsed; light leaves are those below the floor of these weights."""
+    return kept(collapsed(in_shares(leaves)))
 
 
 def pruned(leaves: DataFrame, floor: float = 0.01, cap: int = 8, normalise: bool = True) -> DataFrame:
     """group, hyp_id, weight of the hypotheses that stay: weights are normalised, light ones and those beyond the cap go (never the heaviest), the rest is normalised again."""
+    return kept(in_shares(leaves) if normalise else leaves.withColumn("_share", F.col("weight")), floor, cap)
+
+
+def kept(leaves: DataFrame, floor: float = 0.01, cap: int = 8) -> DataFrame:
+    """leaves (with _share) whose share reaches the floor, at most cap of a group, and the heaviest in any case; weight becomes their part of what stays.
+
+    The order is that of the weights, as given: shares of different weights may be equal, according to the sum's last bits.
+    """
     from pyspark.sql import Window as W
 
-    g = W.partitionBy("group")
-    total = F.sum("weight").over(g)
-    d = leaves if not normalise else leaves.withColumn("weight", F.when(total > 0, F.col("weight") / total).otherwise(1 / F.count(F.lit(1)).over(g)))
-    d = d.withColumn("rank", F.row_number().over(g.orderBy(F.desc("weight"), "hyp_id"))).where(((F.col("weight") >= floor) | (F.col("rank") == 1)) & (F.col("rank") <= cap))
-    return d.withColumn("weight", F.col("weight") / F.sum("weight").over(g)).drop("rank")
+    g = W.partitionBy("group").orderBy(F.desc("weight"), "hyp_id")
+    d = leaves.withColumn("rank", F.row_number().over(g)).where(((F.col("_share") >= floor) | (F.col("rank") == 1)) & (F.col("rank") <= cap))
+    total = F.sum("_share").over(g.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return d.withColumn("weight", F.col("_share") / total).drop("rank", "_share")
 
 
 def risk(dark: Column, zone_kinds: Column, sanctioned: Column) -> tuple[Column, Column]:
