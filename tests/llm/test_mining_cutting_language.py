@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidemark.llm import fill_in_middle, hard_negatives, language_id
@@ -56,6 +57,15 @@ def test_hard_negatives_as_by_all_pairs(spark, monkeypatch, block, group):
     assert mined(spark, rows) == wanted(rows)
 
 
+def test_a_task_returns_the_best_of_all_its_blocks(monkeypatch):
+    monkeypatch.setattr(hard_negatives, "HEAP", 3)
+    bytes_of = lambda kind, *v: np.array(v, kind).tobytes()
+    window = {"anchor": bytes_of(int, 0), "key": bytes_of(int, 0), "label": bytes_of(int, 1), "low": bytes_of(float, -np.inf), "high": bytes_of(float, np.inf), "vector": bytes_of(float, 1)}
+    blocks = [{"ids": bytes_of(int, b, b + 100), "labels": bytes_of(int, 2, 2), "vectors": bytes_of(float, b % 7, b % 5)} | window for b in range(1, 30)]
+    found = pd.concat(hard_negatives.joined(iter(pd.DataFrame([b]) for b in blocks), 1, 2, False))
+    assert found[["anchor", "key", "id", "score"]].to_numpy().tolist() == [[0, 0, 6, 6], [0, 0, 13, 6]]
+
+
 def test_hard_negatives_of_hard_rows(spark):
     rng = random.Random(12)
     nan, inf = float("nan"), float("inf")
