@@ -125,3 +125,12 @@ def test_branches_of_few_points(spark):
     points = spark.createDataFrame([(1, 1, 0.0, 0.0, "a"), (1, 2, 5.0, 5.0, "b")], "key long, sample long, x double, y double, behaviour string")
     assert sorted((x["sample"], x["cluster"]) for x in forecast.branches(points).collect()) == [(1, 0), (2, 0)]
     assert forecast.branches(points.limit(0)).count() == 0
+
+
+def test_ports_in_one_place_are_met_once(spark):
+    import re
+
+    from tidemark.plans import registry
+
+    plan = registry.QUERIES["ports_within_reach"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[plat#\d+, plon#\d+\]", plan[plan.index("Join") :])

@@ -134,13 +134,14 @@ def truth_at_frames(spark, sf_dir):
 j AS (SELECT event_id, s_suppkey, sqrt((lat - plat) ** 2 + (lon - plon) ** 2) * 111.32 AS km FROM l JOIN p ON true WHERE lat BETWEEN 34.5 AND 38.5 AND lon BETWEEN -126 AND -120.5)
 SELECT event_id, round(min(km), 6) AS port_km, count(*) AS n_ports FROM j WHERE km <= 12 GROUP BY 1""")
 def ports_within_reach(spark, sf_dir):
-    """Reports in the extent that are at most 12 km (of flat degrees) from a port, joined by cells."""
+    """Reports in the extent that are at most 12 km (of flat degrees) from a port, joined by cells; ports in one place are met once and counted."""
     k, reach = F.col("s_suppkey"), 12 / 111.32
     p = table(spark, sf_dir, "supplier").select(k, (36.75 + (k % 40 - 20) / 200.0).alias("plat"), (-121.95 + (k % 30 - 15) / 200.0).alias("plon"))
+    p = p.groupBy("plat", "plon").agg(F.count(F.lit(1)).alias("n"))
     d = placed(spark, sf_dir).where("lat BETWEEN 34.5 AND 38.5 AND lon BETWEEN -126 AND -120.5").select("event_id", "lat", "lon")
     near = cells.in_cells(p, d, [], (F.col("plon") - reach, F.col("plat") - reach), (F.col("plon") + reach, F.col("plat") + reach), (F.col("lon"), F.col("lat")), base=2 * reach)
     near = near.withColumn("km", F.hypot(F.col("lat") - F.col("plat"), F.col("lon") - F.col("plon")) * 111.32).where("km <= 12")
-    return near.groupBy("event_id").agg(r(F.min("km"), 6).alias("port_km"), F.count(F.lit(1)).alias("n_ports"))
+    return near.groupBy("event_id").agg(r(F.min("km"), 6).alias("port_km"), F.sum("n").alias("n_ports"))
 
 
 @query(f"""{{DET}}, l AS (SELECT event_id, t_abs, {LAT} AS lat, {LON} AS lon FROM det WHERE abs(t_abs - 1705708800) <= 10800)
