@@ -134,3 +134,11 @@ def test_ports_in_one_place_are_met_once(spark):
 
     plan = registry.QUERIES["ports_within_reach"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[plat#\d+, plon#\d+\]", plan[plan.index("Join") :])
+
+
+def test_samples_leave_python_a_few_contacts_at_a_time():
+    import pandas as pd
+
+    b = pd.DataFrame([(k, 0.0, 0.0, 10.0 * k, 5.0, 600.0) for k in range(300)], columns=["mmsi", "x", "y", "course_deg", "speed_mps", "age_s"])
+    parts = list(forecast.drawn(iter([b]), 600))
+    assert max(len(p) for p in parts) < forecast.PART + 600 and pd.concat(parts).groupby("mmsi")["sample"].nunique().tolist() == [600] * 300

@@ -17,29 +17,37 @@ BEHAVIOURS = ("continue", "turn", "slow", "drift")
 SAMPLED = "mmsi long, sample int, x double, y double, behaviour string"
 
 
-def samples(contacts: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """contacts: mmsi, x, y, course_deg, speed_mps, age_s. n end points of each, from a generator seeded by contact and nothing else."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = []
-            for c in b.itertuples():
-                rng = np.random.default_rng(int(c.mmsi))
-                kind = rng.choice(len(BEHAVIOURS), n, p=(0.55, 0.2, 0.15, 0.1))
-                step = 120.0 if c.age_s <= 7200 else 300.0 if c.age_s <= 43200 else 900.0
-                heading, speed = np.radians(c.course_deg + rng.normal(0, 4, n)), np.maximum(0, c.speed_mps + rng.normal(0, 0.35, n))
-                heading = heading + np.where(kind == 1, rng.normal(0, 1, n), 0)
-                speed = np.where(kind == 2, speed * 0.5, np.where(kind == 3, np.minimum(speed, 0.5), speed))
-                x, y, t = np.full(n, c.x), np.full(n, c.y), 0.0
-                while t < c.age_s:
-                    dt = min(step, c.age_s - t)
-                    heading = heading + rng.normal(0, 0.02, n) * np.sqrt(dt / 120)
-                    x, y, t = x + speed * dt * np.sin(heading), y + speed * dt * np.cos(heading), t + dt
-                parts.append(pd.DataFrame({"mmsi": c.mmsi, "sample": np.arange(n, dtype=np.int32), "x": x, "y": y, "behaviour": np.array(BEHAVIOURS)[kind]}))
-            if parts:
+#: Sampled points that leave Python at once, or those of one contact.
+PART = 30_000
+
+
+def drawn(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """The samples of each contact, those of a few contacts at a time, so that a batch of many contacts doesn't stand in memory n times as large."""
+    for b in batches:
+        parts = []
+        for c in b.itertuples():
+            rng = np.random.default_rng(int(c.mmsi))
+            kind = rng.choice(len(BEHAVIOURS), n, p=(0.55, 0.2, 0.15, 0.1))
+            step = 120.0 if c.age_s <= 7200 else 300.0 if c.age_s <= 43200 else 900.0
+            heading, speed = np.radians(c.course_deg + rng.normal(0, 4, n)), np.maximum(0, c.speed_mps + rng.normal(0, 0.35, n))
+            heading = heading + np.where(kind == 1, rng.normal(0, 1, n), 0)
+            speed = np.where(kind == 2, speed * 0.5, np.where(kind == 3, np.minimum(speed, 0.5), speed))
+            x, y, t = np.full(n, c.x), np.full(n, c.y), 0.0
+            while t < c.age_s:
+                dt = min(step, c.age_s - t)
+                heading = heading + rng.normal(0, 0.02, n) * np.sqrt(dt / 120)
+                x, y, t = x + speed * dt * np.sin(heading), y + speed * dt * np.cos(heading), t + dt
+            parts.append(pd.DataFrame({"mmsi": c.mmsi, "sample": np.arange(n, dtype=np.int32), "x": x, "y": y, "behaviour": np.array(BEHAVIOURS)[kind]}))
+            if len(parts) * n >= PART:
                 yield pd.concat(parts)
+                parts = []
+        if parts:
+            yield pd.concat(parts)
 
-    return contacts.select("mmsi", "x", "y", "course_deg", "speed_mps", "age_s").mapInPandas(run, SAMPLED)
+
+def samples(contacts: DataFrame, n: int = SAMPLES) -> DataFrame:
+    """contacts: mmsi, x, y, course_deg, speed_mps, age_s. n end points of each, from a generator seeded by contact and nothing else."""
+    return contacts.select("mmsi", "x", "y", "course_deg", "speed_mps", "age_s").mapInPandas(lambda batches: drawn(batches, n), SAMPLED)
 
 
 def regions(points: DataFrame, key: str = "mmsi", levels: tuple[int, ...] = LEVELS) -> DataFrame:
