@@ -1,8 +1,10 @@
 """Readers of files and feeds on small files."""
 
 import json
+import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tidemark.operators import alerts, history
@@ -96,3 +98,14 @@ def test_time_steps_add_up(spark):
 def test_hull_corners():
     grid = [(float(x), float(y)) for x in range(5) for y in range(5)]
     assert sorted(history.corners(grid)) == [(0, 0), (0, 4), (4, 0), (4, 4)] and history.corners([(1.0, 1.0)]) == [(1.0, 1.0)] and len(history.corners([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)])) == 2
+
+
+def test_partial_hulls_make_the_hull(spark):
+    rng = random.Random(4)
+    rows = [(k % 9 if k % 3 else 4, float(rng.randint(0, 30)), float(rng.randint(0, 30))) for k in range(3000)]
+    parts = [pd.DataFrame(rows[i : i + 70], columns=["mmsi", "x", "y"]) for i in range(0, len(rows), 70)]
+    first = list(history.partial(iter(parts)))
+    assert sum(map(len, first)) < len(rows)
+    sides = {k: set(history.corners([(x, y) for m, x, y in rows if m == k])) for k in range(9)}
+    got = history.hulls(spark.createDataFrame(rows, "mmsi long, x double, y double").repartition(5)).collect()
+    assert len(got) == len(set(got)) and {k: {(r["x"], r["y"]) for r in got if r["mmsi"] == k} for k in range(9)} == sides

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -85,15 +86,33 @@ def corners(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return chain(points) + chain(points[::-1])
 
 
-def hulls(points: DataFrame, salts: int = 16) -> DataFrame:
-    """mmsi, x, y: the hull's corners of each contact. The hull of partial hulls is the hull, so a contact of any size is cut into salts first."""
-
-    def part(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], x, y) for x, y in corners(list(zip(rows["x"], rows["y"], strict=True)))], columns=["mmsi", "x", "y"])
-
+def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The corners (mmsi, x, y) of each contact's rows of a batch; those of a batch's last contact go on to the next. What a batch holds of a contact's points is all that stands in memory."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b])
+        b = b.sort_values("mmsi", kind="stable")
+        who, xs, ys = b["mmsi"].to_numpy(), b["x"].tolist(), b["y"].tolist()
+        edges = [0, *(np.flatnonzero(np.diff(who)) + 1).tolist(), len(who)]
+        ids, out = [], []
+        for lo, hi in zip(edges, edges[1:]) if len(who) else []:
+            found = corners(list(zip(xs[lo:hi], ys[lo:hi], strict=True)))
+            ids += [who[lo]] * len(found)
+            out += found
+        last = len(found) if len(who) else 0
+        made = pd.DataFrame({"mmsi": np.array(ids, who.dtype), "x": [p[0] for p in out], "y": [p[1] for p in out]})
+        rest = made[len(made) - last :]
+        if len(made) > last:
+            yield made[: len(made) - last]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def hulls(points: DataFrame) -> DataFrame:
+    """mmsi, x, y: the hull's corners of each contact. The hull of partial hulls is the hull, so each task sends on the corners of what it reads only; rows without a contact are left out."""
     shape = "mmsi long, x double, y double"
-    salted = points.select("mmsi", "x", "y", F.pmod(F.xxhash64("x", "y"), F.lit(salts)).alias("salt"))
-    return salted.groupBy("mmsi", "salt").applyInPandas(part, shape).groupBy("mmsi").applyInPandas(part, shape)
+    own = points.select(F.col("mmsi").cast("long").alias("mmsi"), "x", "y").where("mmsi IS NOT NULL").mapInPandas(partial, shape)
+    return own.repartition("mmsi").sortWithinPartitions("mmsi").mapInPandas(partial, shape)
 
 
 def crosses(x1: Column, y1: Column, x2: Column, y2: Column, ring: list[tuple[float, float]], step: float) -> Column:
