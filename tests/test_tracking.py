@@ -285,3 +285,22 @@ def test_the_heaviest_hypothesis_stays_whatever_the_shares_round_to(spark):
         d = spark.createDataFrame(order, "group long, root long, hyp_id string, weight double, depth int").repartition(7)
         for kept in (decisions.pruned(d), decisions.maintained(d)):
             assert {r["group"]: (r["hyp_id"], r["weight"]) for r in kept.collect()} == {g: ("b", 1.0) for g in range(60)}
+
+
+def test_zones_of_one_shape_are_tested_once(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    ring = lambda x, y, n: [[x + 4 * math.cos(2 * math.pi * k / n), y + 4 * math.sin(2 * math.pi * k / n)] for k in range(n)]
+    square = lambda x, y: [[x, y], [x + 5.0, y], [x + 5.0, y + 5.0], [x, y + 5.0]]
+    kinds = [[[square(0.0, 0.0), square(1.0, 1.0)]], [[ring(8.0, 8.0, 9)], [square(2.0, 9.0)]], [[ring(6.0, 6.0, 100)]]]
+    areas = spark.createDataFrame([(f"z{k}", k % 5, kinds[k % 3]) for k in range(90)], "zone_id string, kind long, parts array<array<array<array<double>>>>")
+    monkeypatch.setattr(zones, "SAME", 7)
+    assert zones.shapes(areas).count() == 3 * math.ceil(30 / 7)
+    at = [(float(x), float(y)) for x, y in rng.integers(-2, 15, (150, 2))] + [tuple(map(float, p)) for p in rng.uniform(-2, 15, (150, 2))]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(at)], "id long, x double, y double")
+    for covers in (False, True):
+        one = points.crossJoin(areas.withColumn("lines", zones.edges(F.col("parts"))))
+        edge, inner = zones.on_edge(F.col("x"), F.col("y"), F.col("lines")), zones.enclosed(F.col("x"), F.col("y"), F.col("lines"))
+        expected = sorted(map(tuple, one.where(edge | inner if covers else ~edge & inner).select("id", "zone_id", "kind").collect()))
+        for few in (0, 100_000):
+            monkeypatch.setattr(zones, "FEW", few)
+            assert sorted(map(tuple, zones.contained(points, areas, covers=covers).select("id", "zone_id", "kind").collect())) == expected
