@@ -304,3 +304,13 @@ def test_zones_of_one_shape_are_tested_once(spark, monkeypatch):
         for few in (0, 100_000):
             monkeypatch.setattr(zones, "FEW", few)
             assert sorted(map(tuple, zones.contained(points, areas, covers=covers).select("id", "zone_id", "kind").collect())) == expected
+
+
+def test_cheapest_pairs_are_enough_for_mutual_best(spark):
+    rng = np.random.default_rng(8)
+    tracks = spark.createDataFrame([(f, t, float(x), float(y), 40000.0, 5000.0, 90000.0) for f in range(3) for t, (x, y) in enumerate(rng.integers(0, 6, (60, 2)) * 150)], "frame_idx long, track_id long, px double, py double, p00 double, p01 double, p11 double")
+    plots = spark.createDataFrame([(f, m, float(x), float(y), float(5 + m % 3 * 40)) for f in range(3) for m, (x, y) in enumerate(rng.integers(0, 6, (60, 2)) * 150)], "frame_idx long, meas_id long, x double, y double, sigma double")
+    pairs, few = tracking.pair_costs(tracks, plots), tracking.cheapest_pairs(tracks, plots)
+    assert few.count() < pairs.count() / 4
+    best = lambda d: sorted(tuple(r) for r in tracking.mutual_best(d).select("frame_idx", "track_id", "meas_id").collect())
+    assert best(few) == best(pairs)
